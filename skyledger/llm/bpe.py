@@ -137,7 +137,8 @@ def slices(batch: pa.RecordBatch, column: str = "body", limit: int = 8 << 20) ->
     """batch in parts of about ``limit`` bytes of the column, so that a batch of very long texts doesn't stay in memory as a whole."""
     if not batch.num_rows:
         return
-    ends = np.frombuffer(batch.column(column).cast(pa.large_string()).buffers()[1], dtype=np.int64)[batch.column(column).offset :][: batch.num_rows + 1]
+    texts = batch.column(column).cast(pa.large_string())
+    ends = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset :][: batch.num_rows + 1]
     start = 0
     while start < batch.num_rows:
         stop = max(start + 1, int(np.searchsorted(ends, ends[start] + limit, side="right")) - 1)

@@ -21,8 +21,8 @@ from ._shared import whole_text
 from .bpe import slices
 
 SPACE = "▁"
-#: The most pre-tokens that a worker remembers (about 100 bytes each).
-KEPT = 1_000_000
+#: Characters of the pre-tokens that a worker remembers.
+KEPT = 12_000_000
 #: Symbols that are merged together (about 100 bytes each while rounds run).
 BLOCK = 400_000
 
@@ -75,15 +75,15 @@ class PieceCounter:
                 self.weight[self.symbol[c]] = utf8(c)
         self.single, self.utf8 = {p for p in rank if len(p) == 1}, utf8
         self.seen: dict[str, int] = {}
-        self.kept = kept
+        self.kept, self.held = kept, 0
 
     def count(self, texts: list[str]) -> list[int]:
         """Tokens of each text. An empty text has none."""
         cut = [self._cut(t) for t in texts]
+        if self.held > self.kept:
+            self.seen, self.held = {}, 0
         new = list({w for ws in cut for w in ws} - self.seen.keys())
-        if len(self.seen) + len(new) > self.kept:
-            self.seen = {}
-            new = list({w for ws in cut for w in ws})
+        self.held += sum(map(len, new))
         start = size = 0
         for k, w in enumerate(new):
             size += len(w)
