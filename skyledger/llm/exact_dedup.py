@@ -67,12 +67,16 @@ def _repeats(rows: DataFrame, by: list[str]) -> DataFrame:
 
 
 def deduplicate(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
-    """The rows of df that stay, with all their columns: of equal texts one with the largest id."""
-    best = winners(df, id_col=id_col, text_col=text_col, salts=salts)
-    keys = best.select(F.col("keep_id").alias("_keep_id"), F.col("digest").alias("_keep_digest"))
-    marked = df.withColumn("_digest", F.sha2(whole_text(text_col), 256))
-    kept = marked.join(keys, (F.col("_digest") == F.col("_keep_digest")) & F.col(id_col).eqNullSafe(F.col("_keep_id")), "left_semi")
-    repeated = marked.groupBy(id_col, "_digest").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    if not repeated.isEmpty():  # only then the kept rows themselves are shuffled once more
-        kept = kept.dropDuplicates([id_col, "_digest"])
-    return kept.drop("_digest")
+    """The rows of df that stay, with all their columns: of equal texts one with the largest id.
+
+    The winners carry their other columns along, so the texts are shuffled as often as in assign() and not once more.
+    Nulls are as there; of rows that repeat id and text any one stays. Columns of df may have any names.
+    """
+    rest = [c for c in df.columns if c != text_col]
+    text = whole_text(text_col)
+    row = F.struct(*[F.col(c).alias(f"c{k}") for k, c in enumerate(rest)], F.col(text_col).isNull().alias("none"), F.struct(F.col(id_col)).alias("order"))
+    rows = df.select(F.sha2(text, 256).alias("digest"), F.pmod(F.xxhash64(id_col), F.lit(salts)).cast("int").alias("salt"), text.alias("body"), row.alias("row"))
+    salted = rows.groupBy("digest", "salt", "body").agg(F.max_by("row", "row.order").alias("row"))
+    best = salted.groupBy("digest", "body").agg(F.max_by("row", "row.order").alias("row"))
+    columns = {c: F.col(f"row.c{k}") for k, c in enumerate(rest)} | {text_col: F.when(~F.col("row.none"), F.col("body"))}
+    return best.select(*[columns[c].alias(c) for c in df.columns])

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def _tokenizer(name: str) -> str:
@@ -73,6 +72,12 @@ FROM t
 """
 
 
+def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licences import scan
+
+    return scan(_table(spark, sf_dir, "documents"))
+
+
 def op8_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_shards import read_shards, write_shards
 
@@ -100,6 +105,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_warc": op4_warc,
         "op5_simhash": op5_simhash,
         "op6_exact_dedup": op6_exact_dedup,
+        "op7_licences": op7_licences,
         "op8_token_shards": op8_token_shards,
         "op9_toxicity": op9_toxicity,
         "op10_nearest": op10_nearest,
