@@ -26,7 +26,7 @@ LEAF = 4096
 WINDOW = 8
 
 
-def _byte_alphabet() -> dict[str, int]:
+def byte_alphabet() -> dict[str, int]:
     """Character -> byte of the byte-level alphabet: printable bytes stand for themselves, the others follow from U+0100 on."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     table = {chr(b): b for b in plain}
@@ -41,7 +41,7 @@ class TreeCodec:
         from tokenizers import Tokenizer
 
         self.library, self.leaf, self.window = Tokenizer.from_file(path), leaf, window
-        alphabet, size = _byte_alphabet(), self.library.get_vocab_size(with_added_tokens=True)
+        alphabet, size = byte_alphabet(), self.library.get_vocab_size(with_added_tokens=True)
         self.bytes_of = [b""] * size
         for token, k in self.library.get_vocab(with_added_tokens=True).items():
             whole = all(c in alphabet for c in token)

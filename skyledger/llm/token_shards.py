@@ -16,6 +16,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._shared import atomic_file, file_system, one_task_each, shared_path, whole_text, written
-from .bpe import slices
+from .bpe import byte_alphabet, slices
 
 MAGIC = b"SKWM0001"
 BLOCK = 512
@@ -35,9 +36,9 @@ END = 2
 SHARD_IDS = 4 << 20
 #: Characters of the words whose ids a worker remembers.
 KEPT = 12_000_000
-#: Characters that str.split() takes for white space and the tokenizer's pattern doesn't.
-_SEPARATORS = re.compile("[\x1c-\x1f]")
-_WORD = re.compile("(?:[^\\s]|[\x1c-\x1f])+")
+#: The tokenizer's pattern for texts of U+0000 to U+00FF in lower case: its contractions, letters, single digits, and runs of the rest without white space.
+_LETTER, _DIGIT, _SPACE = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
+_PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_DIGIT}]|[^{_SPACE}{_LETTER}{_DIGIT}]+")
 
 
 class WaveletMatrix:
@@ -176,29 +177,49 @@ class Shard:
 
 
 class WordEncoder:
-    """ids of whole texts for a tokenizer that drops white space: what it makes of a word doesn't depend on the words around it."""
+    """ids of whole texts for a BPE tokenizer that lowers case, drops white space and merges within the pieces of its pattern.
+
+    Texts of U+0000 to U+00FF are cut into the pattern's pieces here (lower case and NFC are plain there) and each piece that
+    a worker hasn't met goes through the library's model; all other texts, and those that may hold a special token, go
+    through the library as they are.
+    """
 
     def __init__(self, path: str, kept: int = KEPT):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library, self.kept, self.seen, self.held = Tokenizer.from_file(path), kept, {}, 0
+        self.model = self.library.model
         self.planes = max(1, (max(END, self.library.get_vocab_size(with_added_tokens=True) - 1)).bit_length())
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.kind = np.uint16 if self.planes <= 16 else np.uint32
+        self.code = "H" if self.planes <= 16 else "I"
+        self.starts = {t.content[:2] for t in self.library.get_added_tokens_decoder().values()}
+        self.alphabet = {b: c for c, b in byte_alphabet().items()}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Each text's ids and END."""
-        cut = [_WORD.findall(t) if _SEPARATORS.search(t) else t.split() for t in texts]
         if self.held > self.kept:
             self.seen, self.held = {}, 0
-        new = list({w for ws in cut for w in ws} - self.seen.keys())
+        plain = [_latin(t) and not any(s in t for s in self.starts) for t in texts]
+        cut = [_PIECE.findall(t.lower()) if p else None for t, p in zip(texts, plain, strict=True)]
+        new = {w for ws in cut if ws for w in ws} - self.seen.keys()
         self.held += sum(map(len, new))
-        for at in range(0, len(new), 1 << 14):
-            part = new[at : at + (1 << 14)]
-            self.seen.update((w, np.array(e.ids, np.uint16 if self.planes <= 16 else np.uint32).tobytes()) for w, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True))
-        of, kind = self.seen.__getitem__, np.uint16 if self.planes <= 16 else np.uint32
-        end = np.array([END], kind).tobytes()
-        return [np.frombuffer(b"".join(map(of, ws)) + end, kind) for ws in cut]
+        self.seen.update((w, self._piece(w)) for w in new)
+        whole = iter(self.library.encode_batch_fast([t for t, p in zip(texts, plain, strict=True) if not p], add_special_tokens=False))
+        of, end = self.seen.__getitem__, np.array([END], self.kind).tobytes()
+        return [np.frombuffer((b"".join(map(of, ws)) if ws is not None else np.array(next(whole).ids, self.kind).tobytes()) + end, self.kind) for ws in cut]
+
+    def _piece(self, piece: str) -> bytes:
+        mapped = "".join([self.alphabet[b] for b in piece.encode()]) if not piece.isalnum() or not piece.isascii() else piece
+        return array(self.code, [t.id for t in self.model.tokenize(mapped)]).tobytes()
+
+
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 @lru_cache(maxsize=2)
