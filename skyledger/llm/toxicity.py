@@ -12,9 +12,11 @@ pass over all rows without a shuffle.
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +44,11 @@ _LEET = str.maketrans("013457@$!|", "oieastasil")
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _INNER = re.compile(r"[^\W\d_][\d*@$#!|+.\-_]+[^\W\d_]")
 _STRETCH = re.compile(r"(.)\1\1")
+_LETTERS = re.compile(r"[\W\d_]")
+_PUNCTUATION, _MARKS, _SYMBOLS = ".,;:!?\"'()-", frozenset(".,;:'\"()-"), frozenset("$%&#*@^~")
 _WIDTH = 17
+#: Words whose properties a worker remembers (about 200 bytes each).
+KEPT = 500_000
 
 
 def beginnings(word: str) -> list[str]:
@@ -63,34 +69,61 @@ class Features:
         + ["insults", "hidden_insults", "strong_hits", "weak_hits", "odds_sum", "odds_top", "near_second_rate", "near_second", "distinct_share"]
     )
 
-    def __init__(self, lexicon: dict[str, float]):
-        self.lexicon, self.place, self.rows = lexicon, {}, []
-
-    def _word(self, w: str) -> list[float]:
-        c = core(w)
-        plain = c.translate(_LEET)
-        letters = sum(ch.isalpha() for ch in w)
-        upper = sum(ch.isupper() for ch in w)
-        odds = max((self.lexicon[t] for t in beginnings(c) if t in self.lexicon), default=0.0, key=abs)
-        insult = c in INSULTS
-        hidden = not insult and (plain in INSULTS or re.sub(r"[\W\d_]", "", c) in INSULTS)
-        return [letters, upper, float(upper == letters > 1), w.count("!"), w.count("?"), sum(ch in ".,;:'\"()-" for ch in w), sum(ch.isdigit() for ch in w), float(bool(_INNER.search(c))), float(insult), float(hidden), float(c in SECOND), max(odds, 0.0), max(-odds, 0.0), float(odds > 1.0), float(odds > 2.0), sum(ch in "$%&#*@^~" for ch in w), float(bool(_STRETCH.search(c)))]
+    def __init__(self, lexicon: dict[str, float], kept: int = KEPT):
+        self.lexicon, self.kept = lexicon, kept
+        self.place: dict[str, int] = {}
+        self.table = np.zeros((1 << 12, _WIDTH), np.float32)
+
+    def _odds(self, c: str) -> float:
+        get, best = self.lexicon.get, self.lexicon.get(c, 0.0)
+        for k in range(4, min(9, len(c))):
+            if (x := get(c[:k] + "-", 0.0)) and abs(x) > abs(best):
+                best = x
+        return best
+
+    def _word(self, w: str, row: np.ndarray) -> None:
+        """Fills the word's row: letters, capitals, all capitals, !, ?, other punctuation, digits, obfuscated, insult, hidden insult, second person, odds up and down, weak and strong hit, symbols, stretch."""
+        inner = w.strip(_PUNCTUATION)
+        rest = w if len(inner) < len(w) else ""
+        if inner.isalpha():
+            c = inner.lower()
+            row[0] = len(inner)
+            if c != inner:
+                row[1] = upper = sum(map(str.isupper, inner))
+                row[2] = upper == len(inner) > 1
+            row[8] = c in INSULTS
+        else:
+            c, rest = core(w), w
+            row[0], row[1], row[6] = sum(map(str.isalpha, w)), sum(map(str.isupper, w)), sum(map(str.isdigit, w))
+            row[2] = row[1] == row[0] > 1
+            row[7] = bool(_INNER.search(c))
+            row[8] = c in INSULTS
+            row[9] = not row[8] and (c.translate(_LEET) in INSULTS or _LETTERS.sub("", c) in INSULTS)
+        if rest:
+            row[3], row[4] = rest.count("!"), rest.count("?")
+            row[5], row[15] = sum(map(_MARKS.__contains__, rest)), sum(map(_SYMBOLS.__contains__, rest))
+        row[10] = c in SECOND
+        if odds := self._odds(c):
+            row[11], row[12], row[13], row[14] = max(odds, 0.0), max(-odds, 0.0), odds > 1.0, odds > 2.0
+        row[16] = bool(_STRETCH.search(c))
 
     def __call__(self, texts: list[str]) -> np.ndarray:
         cut = [t.split() for t in texts]
-        if len(self.place) > 600_000:
-            self.place, self.rows = {}, []
+        if len(self.place) > self.kept:
+            self.place = {}
         for w in {w for ws in cut for w in ws} - self.place.keys():
-            self.place[w] = len(self.place)
-            self.rows.append(np.array(self._word(w), np.float32))
+            k = self.place[w] = len(self.place)
+            if k == len(self.table):
+                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+            self.table[k] = 0
+            self._word(w, self.table[k])
         n = np.array([len(ws) for ws in cut])
         out = np.zeros((len(texts), len(self.names)))
         some = np.flatnonzero(n)
         if not len(some):
             return out
-        table = np.array(self.rows) if len(self.rows) < 4 * n.sum() else None
-        at = np.fromiter((self.place[w] for ws in cut for w in ws), np.int64, n.sum())
-        words = table[at] if table is not None else np.array([self.rows[k] for k in at.tolist()])
+        at = np.fromiter((k for ws in cut for k in map(self.place.__getitem__, ws)), np.int64, n.sum())
+        words = self.table[at]
         starts = (np.cumsum(n) - n)[some]
         sums = np.add.reduceat(words, starts, axis=0, dtype=np.float64)
         count, chars = n[some], np.maximum(sums[:, 0], 1)
@@ -121,11 +154,24 @@ class Features:
         return hits[found]
 
 
+@lru_cache(maxsize=4)
+def _kept_features(stamp: str, model: Model) -> Features:
+    """A worker's features for a model, kept over its tasks."""
+    return Features(model.lexicon)
+
+
 class Model:
     """Everything a score needs: the lexicon, the trees and the calibration; without two labels to learn from, one score for all."""
 
     def __init__(self, lexicon: dict[str, float], trees: Boosted | None, calibration: Isotonic | None, share: float):
         self.lexicon, self.trees, self.calibration, self.share = lexicon, trees, calibration, share
+        self.stamp = uuid.uuid4().hex
+
+    def __hash__(self) -> int:
+        return hash(self.stamp)
+
+    def __eq__(self, other: object) -> bool:
+        return isinstance(other, Model) and self.stamp == other.stamp
 
     def scores(self, features: np.ndarray) -> np.ndarray:
         if self.trees is None:
@@ -225,7 +271,7 @@ def score(df: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str
     """One row per input row: doc_id, held_out, score (0 to 1), predicted (1 if score >= threshold). A null text counts as empty; empty texts have a score like any other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features = Features(model.lexicon)
+        features = _kept_features(model.stamp, model)
         for part in (p for b in batches for p in slices(b)):
             s = model.scores(features(part.column("body").to_pylist()))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
@@ -239,7 +285,7 @@ def clean_rows(df: DataFrame, model: Model, *, text_col: str = "text", threshold
     names = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features = Features(model.lexicon)
+        features = _kept_features(model.stamp, model)
         for part in (p for b in batches for p in slices(b, text_col)):
             s = model.scores(features([t or "" for t in part.column(text_col).to_pylist()]))
             yield part.filter(pa.array(s < threshold)).select(names)
