@@ -175,7 +175,7 @@ def build_index(rows: DataFrame, k: int = 5, *, shard: int = SHARD) -> DataFrame
         if v:
             yield close()
 
-    dealt = every.repartition(n, F.xxhash64("ids", F.lit(3)))
+    dealt = every.repartition(n)  # evenly, by turns: a shard's size is a property of the index and not of the session's partitions
     return written(dealt.mapInArrow(run, "n long, entry long, ids binary, ends binary, vectors binary, edges binary"), "ann-index").withColumn("shard", F.monotonically_increasing_id())
 
 
@@ -190,7 +190,7 @@ def _blocks(rows: DataFrame, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())], ["q_ids", "q_vectors"])
 
     n = max(1, -(-rows.count() // size))
-    return written(rows.repartition(n, F.xxhash64("vec_id", F.lit(5))).mapInArrow(run, "q_ids binary, q_vectors binary"), "ann-queries")
+    return written(rows.repartition(n).mapInArrow(run, "q_ids binary, q_vectors binary"), "ann-queries")
 
 
 def _search(pair: dict, k: int, beam: int) -> pa.RecordBatch:
