@@ -140,7 +140,7 @@ def usable(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding")
 def nodes(rows: DataFrame, k: int) -> DataFrame:
     """v, ids: each different vector with the smallest k + 1 ids of its rows. Salted, so that a very common vector meets in no task as a whole."""
     salted = Window.partitionBy("v", "salt").orderBy("vec_id")
-    few = rows.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS))).withColumn("place", F.row_number().over(salted)).filter(F.col("place") <= k + 1)
+    few = rows.distinct().withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS))).withColumn("place", F.row_number().over(salted)).filter(F.col("place") <= k + 1)
     few = few.withColumn("place", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).filter(F.col("place") <= k + 1)
     return few.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
 
