@@ -36,9 +36,9 @@ END = 2
 SHARD_IDS = 4 << 20
 #: Characters of the words whose ids a worker remembers.
 KEPT = 12_000_000
-#: The tokenizer's pattern for texts of U+0000 to U+00FF in lower case: its contractions, letters, single digits, and runs of the rest without white space.
+#: The tokenizer's pattern for texts of U+0000 to U+00FF in lower case: letters, its contractions, single digits, and runs of the rest without white space.
 _LETTER, _DIGIT, _SPACE = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
-_PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_DIGIT}]|[^{_SPACE}{_LETTER}{_DIGIT}]+")
+_PIECE = re.compile(f"[{_LETTER}]+|'s|'t|'re|'ve|'m|'ll|'d|[{_DIGIT}]|[^{_SPACE}{_LETTER}{_DIGIT}]+")
 
 
 class WaveletMatrix:
@@ -52,17 +52,16 @@ class WaveletMatrix:
         current = ids.astype(np.uint16 if planes <= 16 else np.uint32)
         bits, ones, zeros = [], [], []
         for shift in range(planes - 1, -1, -1):
-            bit = (current >> np.array(shift, current.dtype)).astype(np.uint8) & 1
-            packed = np.packbits(bit, bitorder="little")
+            mask = current & np.array(1 << shift, current.dtype) != 0
+            packed = np.packbits(mask, bitorder="little")
             words = np.zeros(-(-len(current) // BLOCK) * BLOCK // 8, dtype=np.uint8)
             words[: len(packed)] = packed
             words = words.view("<u8")
             count = np.bitwise_count(words).reshape(-1, BLOCK // 64).sum(axis=1, dtype=np.int64)
             bits.append(words)
             ones.append((np.cumsum(count) - count).astype("<u4"))
-            mask = bit.view(bool)
             zeros.append(len(current) - int(count.sum()))
-            current = np.concatenate([current[~mask], current[mask]])
+            current = np.concatenate([current.take(np.flatnonzero(~mask)), current.take(np.flatnonzero(mask))])
         return cls(len(ids), bits, ones, zeros)
 
     def _rank1(self, plane: int, at: np.ndarray) -> np.ndarray:
@@ -124,8 +123,8 @@ class WaveletMatrix:
         for plane in range(len(self.zeros) - 1, -1, -1):
             mask = np.unpackbits(self.bits[plane].view(np.uint8), bitorder="little")[: self.n].view(bool)
             whole = np.empty_like(current)
-            whole[~mask] = current[: self.zeros[plane]]
-            whole[mask] = current[self.zeros[plane] :] | np.array(1 << (len(self.zeros) - 1 - plane), current.dtype)
+            whole[np.flatnonzero(~mask)] = current[: self.zeros[plane]]
+            whole[np.flatnonzero(mask)] = current[self.zeros[plane] :] | np.array(1 << (len(self.zeros) - 1 - plane), current.dtype)
             current = whole
         return current
 
@@ -188,30 +187,37 @@ class WordEncoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.library, self.kept, self.seen, self.held = Tokenizer.from_file(path), kept, {}, 0
+        self.library, self.kept = Tokenizer.from_file(path), kept
         self.model = self.library.model
         self.planes = max(1, (max(END, self.library.get_vocab_size(with_added_tokens=True) - 1)).bit_length())
         self.kind = np.uint16 if self.planes <= 16 else np.uint32
         self.code = "H" if self.planes <= 16 else "I"
         self.starts = {t.content[:2] for t in self.library.get_added_tokens_decoder().values()}
         self.alphabet = {b: c for c, b in byte_alphabet().items()}
+        self.seen = _Pieces(self)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Each text's ids and END."""
-        if self.held > self.kept:
-            self.seen, self.held = {}, 0
+        if self.seen.held > self.kept:
+            self.seen = _Pieces(self)
         plain = [_latin(t) and not any(s in t for s in self.starts) for t in texts]
-        cut = [_PIECE.findall(t.lower()) if p else None for t, p in zip(texts, plain, strict=True)]
-        new = {w for ws in cut if ws for w in ws} - self.seen.keys()
-        self.held += sum(map(len, new))
-        self.seen.update((w, self._piece(w)) for w in new)
         whole = iter(self.library.encode_batch_fast([t for t, p in zip(texts, plain, strict=True) if not p], add_special_tokens=False))
         of, end = self.seen.__getitem__, np.array([END], self.kind).tobytes()
-        return [np.frombuffer((b"".join(map(of, ws)) if ws is not None else np.array(next(whole).ids, self.kind).tobytes()) + end, self.kind) for ws in cut]
+        return [np.frombuffer((b"".join(map(of, _PIECE.findall(t.lower()))) if p else np.array(next(whole).ids, self.kind).tobytes()) + end, self.kind) for t, p in zip(texts, plain, strict=True)]
 
-    def _piece(self, piece: str) -> bytes:
-        mapped = "".join([self.alphabet[b] for b in piece.encode()]) if not piece.isalnum() or not piece.isascii() else piece
-        return array(self.code, [t.id for t in self.model.tokenize(mapped)]).tobytes()
+
+class _Pieces(dict):
+    """piece -> its ids as bytes, found when first asked for."""
+
+    def __init__(self, encoder: WordEncoder):
+        super().__init__()
+        self.tokenize, self.code, self.alphabet, self.held = encoder.model.tokenize, encoder.code, encoder.alphabet, 0
+
+    def __missing__(self, piece: str) -> bytes:
+        mapped = piece if piece.isascii() and piece.isalnum() else "".join([self.alphabet[b] for b in piece.encode()])
+        found = self[piece] = array(self.code, [t.id for t in self.tokenize(mapped)]).tobytes()
+        self.held += len(piece)
+        return found
 
 
 def _latin(text: str) -> bool:
