@@ -47,8 +47,10 @@ _STRETCH = re.compile(r"(.)\1\1")
 _LETTERS = re.compile(r"[\W\d_]")
 _PUNCTUATION, _MARKS, _SYMBOLS = ".,;:!?\"'()-", frozenset(".,;:'\"()-"), frozenset("$%&#*@^~")
 _WIDTH = 17
+#: Bytes of text whose words are looked at together.
+SLICE = 3 << 20
 #: Words whose properties a worker remembers (about 200 bytes each).
-KEPT = 500_000
+KEPT = 250_000
 
 
 def beginnings(word: str) -> list[str]:
@@ -154,7 +156,7 @@ class Features:
         return hits[found]
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def _kept_features(stamp: str, model: Model) -> Features:
     """A worker's features for a model, kept over its tasks."""
     return Features(model.lexicon)
@@ -195,11 +197,11 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, halves, toxic = zip(*counts, strict=True)
         return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(halves, pa.int32()), pa.array(toxic, pa.int32()), pa.array(counts.values(), pa.int64())], ["term", "half", "toxic", "texts"])
 
-    for part in (p for b in batches for p in slices(b)):
+    for part in (p for b in batches for p in slices(b, limit=SLICE)):
         ids = part.column("doc_id").to_pylist()
         for half, text, y in zip(_half(ids).tolist(), part.column("body").to_pylist(), part.column("toxic").to_pylist(), strict=True):
             counts.update((t, half, y) for t in {t for w in set(text.split()) for t in beginnings(core(w))})
-        if len(counts) > 500_000:
+        if len(counts) > 200_000:
             yield batch()
             counts.clear()
     if counts:
@@ -243,7 +245,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_half = [Features(lexicons[1]), Features(lexicons[0])]  # each row by the lexicon of the other half
-        for part in (p for b in batches for p in slices(b)):
+        for part in (p for b in batches for p in slices(b, limit=SLICE)):
             half, texts = _half(part.column("doc_id").to_pylist()), part.column("body").to_pylist()
             x = np.zeros((len(texts), len(Features.names)))
             for h in (0, 1):
@@ -272,7 +274,7 @@ def score(df: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = _kept_features(model.stamp, model)
-        for part in (p for b in batches for p in slices(b)):
+        for part in (p for b in batches for p in slices(b, limit=SLICE)):
             s = model.scores(features(part.column("body").to_pylist()))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
@@ -286,7 +288,7 @@ def clean_rows(df: DataFrame, model: Model, *, text_col: str = "text", threshold
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = _kept_features(model.stamp, model)
-        for part in (p for b in batches for p in slices(b, text_col)):
+        for part in (p for b in batches for p in slices(b, text_col, SLICE)):
             s = model.scores(features([t or "" for t in part.column(text_col).to_pylist()]))
             yield part.filter(pa.array(s < threshold)).select(names)
 
