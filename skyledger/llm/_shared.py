@@ -61,3 +61,16 @@ def atomic_file(path: str):
 def one_task_each(df: DataFrame, most: int = 20_000) -> DataFrame:
     """The rows of a small table (one for each file, say) dealt to as many tasks, up to ``most``; small as they are, adaptive execution would put them into one."""
     return df.repartition(max(1, min(most, df.count())))
+
+
+_KEPT: dict = {}
+
+
+def kept(key: tuple | None = None, make=None):
+    """What a Python worker keeps from task to task: one thing at a time, so that a worker that goes from one operator to the next doesn't hold both. Without a key nothing is kept."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        if key is None:
+            return None
+        _KEPT[key] = make()
+    return _KEPT[key]

@@ -13,14 +13,13 @@ from __future__ import annotations
 import hashlib
 import os
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import whole_text
+from ._shared import kept, whole_text
 
 LEAF = 4096
 WINDOW = 8
@@ -128,9 +127,8 @@ class TreeCodec:
         return at
 
 
-@lru_cache(maxsize=4)
 def codec(path: str, leaf: int = LEAF, window: int = WINDOW) -> TreeCodec:
-    return TreeCodec(path, leaf, window)
+    return kept(("bpe", path, leaf, window), lambda: TreeCodec(path, leaf, window))
 
 
 def slices(batch: pa.RecordBatch, column: str = "body", limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
@@ -151,7 +149,7 @@ def encode(df: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(tokenizer, leaf, window)
-        for part in (p for b in batches for p in slices(b)):
+        for part in (p for b in batches for p in slices(b, limit=2 << 20)):
             ids = c.encode(part.column("body").to_pylist())
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
@@ -179,7 +177,7 @@ def round_trip_digests(df: DataFrame, tokenizer: str, *, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(tokenizer, leaf, window)
-        for part in (p for b in batches for p in slices(b)):
+        for part in (p for b in batches for p in slices(b, limit=2 << 20)):
             n, hashes, texts = [], [], []
             for ids in c.encode(part.column("body").to_pylist()):
                 n.append(len(ids))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import whole_text, written
+from ._shared import kept, whole_text, written
 from .bpe import slices
 from .components import components
 
@@ -74,6 +74,7 @@ def fingerprints(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     """doc_id, fp (the fingerprint as a signed 64-bit integer) of every row; a null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept()
         for part in (p for b in batches for p in slices(b)):
             fp = fingerprint(part.column("body").to_pylist(), words).view(np.int64)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])

@@ -10,14 +10,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import whole_text
+from ._shared import kept, whole_text
 from .bpe import slices
 
 SPACE = "▁"
@@ -28,7 +27,7 @@ BLOCK = 400_000
 
 
 class PieceCounter:
-    def __init__(self, path: str, kept: int = KEPT):
+    def __init__(self, path: str, most: int = KEPT):
         from sentencepiece import sentencepiece_model_pb2 as pb
 
         model = pb.ModelProto()
@@ -75,12 +74,12 @@ class PieceCounter:
                 self.weight[self.symbol[c]] = utf8(c)
         self.single, self.utf8 = {p for p in rank if len(p) == 1}, utf8
         self.seen: dict[str, int] = {}
-        self.kept, self.held = kept, 0
+        self.most, self.held = most, 0
 
     def count(self, texts: list[str]) -> list[int]:
         """Tokens of each text. An empty text has none."""
         cut = [self._cut(t) for t in texts]
-        if self.held > self.kept:
+        if self.held > self.most:
             self.seen, self.held = {}, 0
         new = list({w for ws in cut for w in ws} - self.seen.keys())
         self.held += sum(map(len, new))
@@ -150,19 +149,18 @@ class PieceCounter:
         return np.where(self.safe[best[seq]], place % 2 == 0, first)
 
 
-@lru_cache(maxsize=4)
-def counter(path: str, kept: int = KEPT) -> PieceCounter:
-    return PieceCounter(path, kept)
+def counter(path: str, most: int = KEPT) -> PieceCounter:
+    return kept(("pieces", path, most), lambda: PieceCounter(path, most))
 
 
-def token_counts(df: DataFrame, model: str, *, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096, kept: int = KEPT) -> DataFrame:
+def token_counts(df: DataFrame, model: str, *, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096, most: int = KEPT) -> DataFrame:
     """One row per input row: doc_id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit).
 
     A null text counts as empty: no bytes, no tokens. Ids may repeat or be null; extra columns are ignored. No shuffle.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = counter(model, kept)
+        c = counter(model, most)
         for part in (p for b in batches for p in slices(b)):
             n = c.count(part.column("body").to_pylist())
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("n_bytes"), pa.array(n, pa.int64()), pa.array([k > limit for k in n], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])

@@ -18,14 +18,13 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import atomic_file, file_system, one_task_each, shared_path, whole_text, written
+from ._shared import atomic_file, file_system, kept, one_task_each, shared_path, whole_text, written
 from .bpe import byte_alphabet, slices
 
 MAGIC = b"SKWM0001"
@@ -183,11 +182,11 @@ class WordEncoder:
     through the library as they are.
     """
 
-    def __init__(self, path: str, kept: int = KEPT):
+    def __init__(self, path: str, most: int = KEPT):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.library, self.kept = Tokenizer.from_file(path), kept
+        self.library, self.most = Tokenizer.from_file(path), most
         self.model = self.library.model
         self.planes = max(1, (max(END, self.library.get_vocab_size(with_added_tokens=True) - 1)).bit_length())
         self.kind = np.uint16 if self.planes <= 16 else np.uint32
@@ -198,7 +197,7 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Each text's ids and END."""
-        if self.seen.held > self.kept:
+        if self.seen.held > self.most:
             self.seen = _Pieces(self)
         plain = [_latin(t) and not any(s in t for s in self.starts) for t in texts]
         whole = iter(self.library.encode_batch_fast([t for t, p in zip(texts, plain, strict=True) if not p], add_special_tokens=False))
@@ -228,9 +227,8 @@ def _latin(text: str) -> bool:
     return True
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str, kept: int = KEPT) -> WordEncoder:
-    return WordEncoder(path, kept)
+def encoder(path: str) -> WordEncoder:
+    return kept(("words", path), lambda: WordEncoder(path))
 
 
 def write_shards(df: DataFrame, tokenizer: str, folder: str | None = None, *, id_col: str = "doc_id", text_col: str = "text", shard_ids: int = SHARD_IDS, partitions: int | None = None) -> DataFrame:

@@ -16,14 +16,13 @@ import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import whole_text, written
+from ._shared import kept, whole_text, written
 from .boosting import Boosted, Isotonic
 from .bpe import slices
 
@@ -48,9 +47,9 @@ _LETTERS = re.compile(r"[\W\d_]")
 _PUNCTUATION, _MARKS, _SYMBOLS = ".,;:!?\"'()-", frozenset(".,;:'\"()-"), frozenset("$%&#*@^~")
 _WIDTH = 17
 #: Bytes of text whose words are looked at together.
-SLICE = 3 << 20
+SLICE = 2 << 20
 #: Words whose properties a worker remembers (about 200 bytes each).
-KEPT = 250_000
+KEPT = 120_000
 
 
 def beginnings(word: str) -> list[str]:
@@ -71,8 +70,8 @@ class Features:
         + ["insults", "hidden_insults", "strong_hits", "weak_hits", "odds_sum", "odds_top", "near_second_rate", "near_second", "distinct_share"]
     )
 
-    def __init__(self, lexicon: dict[str, float], kept: int = KEPT):
-        self.lexicon, self.kept = lexicon, kept
+    def __init__(self, lexicon: dict[str, float], most: int = KEPT):
+        self.lexicon, self.most = lexicon, most
         self.place: dict[str, int] = {}
         self.table = np.zeros((1 << 12, _WIDTH), np.float32)
 
@@ -111,7 +110,7 @@ class Features:
 
     def __call__(self, texts: list[str]) -> np.ndarray:
         cut = [t.split() for t in texts]
-        if len(self.place) > self.kept:
+        if len(self.place) > self.most:
             self.place = {}
         for w in {w for ws in cut for w in ws} - self.place.keys():
             k = self.place[w] = len(self.place)
@@ -156,12 +155,6 @@ class Features:
         return hits[found]
 
 
-@lru_cache(maxsize=1)
-def _kept_features(stamp: str, model: Model) -> Features:
-    """A worker's features for a model, kept over its tasks."""
-    return Features(model.lexicon)
-
-
 class Model:
     """Everything a score needs: the lexicon, the trees and the calibration; without two labels to learn from, one score for all."""
 
@@ -169,12 +162,6 @@ class Model:
         self.lexicon, self.trees, self.calibration, self.share = lexicon, trees, calibration, share
         self.stamp = uuid.uuid4().hex
 
-    def __hash__(self) -> int:
-        return hash(self.stamp)
-
-    def __eq__(self, other: object) -> bool:
-        return isinstance(other, Model) and self.stamp == other.stamp
-
     def scores(self, features: np.ndarray) -> np.ndarray:
         if self.trees is None:
             return np.full(len(features), self.share)
@@ -197,11 +184,11 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, halves, toxic = zip(*counts, strict=True)
         return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(halves, pa.int32()), pa.array(toxic, pa.int32()), pa.array(counts.values(), pa.int64())], ["term", "half", "toxic", "texts"])
 
-    for part in (p for b in batches for p in slices(b, limit=SLICE)):
+    for part in (p for b in batches for p in slices(b, limit=SLICE // 4)):
         ids = part.column("doc_id").to_pylist()
         for half, text, y in zip(_half(ids).tolist(), part.column("body").to_pylist(), part.column("toxic").to_pylist(), strict=True):
             counts.update((t, half, y) for t in {t for w in set(text.split()) for t in beginnings(core(w))})
-        if len(counts) > 200_000:
+        if len(counts) > 100_000:
             yield batch()
             counts.clear()
     if counts:
@@ -244,6 +231,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     lexicons = _lexicons(sample, totals, terms)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept()
         by_half = [Features(lexicons[1]), Features(lexicons[0])]  # each row by the lexicon of the other half
         for part in (p for b in batches for p in slices(b, limit=SLICE)):
             half, texts = _half(part.column("doc_id").to_pylist()), part.column("body").to_pylist()
@@ -273,7 +261,7 @@ def score(df: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str
     """One row per input row: doc_id, held_out, score (0 to 1), predicted (1 if score >= threshold). A null text counts as empty; empty texts have a score like any other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features = _kept_features(model.stamp, model)
+        features = kept(("toxicity", model.stamp), lambda: Features(model.lexicon))
         for part in (p for b in batches for p in slices(b, limit=SLICE)):
             s = model.scores(features(part.column("body").to_pylist()))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
@@ -287,7 +275,7 @@ def clean_rows(df: DataFrame, model: Model, *, text_col: str = "text", threshold
     names = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features = _kept_features(model.stamp, model)
+        features = kept(("toxicity", model.stamp), lambda: Features(model.lexicon))
         for part in (p for b in batches for p in slices(b, text_col, SLICE)):
             s = model.scores(features([t or "" for t in part.column(text_col).to_pylist()]))
             yield part.filter(pa.array(s < threshold)).select(names)

@@ -81,7 +81,7 @@ def test_token_counts(docs, none):
     library = sentencepiece.SentencePieceProcessor(model_file=path)
     want = [(i, len(t.encode()), n, n > 100) for i, t in _plain(docs) for n in [len(library.encode(t))]]
     assert _rows(token_counts(docs, path, limit=100)) == sorted(want, key=repr)
-    assert _rows(token_counts(docs, path, limit=100, kept=0)) == sorted(want, key=repr)
+    assert _rows(token_counts(docs, path, limit=100, most=0)) == sorted(want, key=repr)
     assert token_counts(none, path).count() == 0
 
 
