@@ -126,12 +126,12 @@ def cycle_range(spark: SparkSession, start: datetime, stop: datetime, hours: tup
 
 
 def default_cycle(now: datetime, fxx: int, hours: tuple[int, ...], latency_minutes: int = 90) -> datetime:
-    """The latest cycle whose forecast fxx hours ahead had been published by now."""
-    at = (now - timedelta(minutes=latency_minutes)).replace(minute=0, second=0, microsecond=0)
-    for k in range(48):
-        if (c := at - timedelta(hours=k)).hour in hours and c + timedelta(hours=fxx) <= now + timedelta(hours=fxx):
+    """The latest cycle for which the hour that is fxx hours ahead lay latency_minutes back or more at now."""
+    at = (now - timedelta(minutes=latency_minutes, hours=fxx)).replace(minute=0, second=0, microsecond=0)
+    for k in range(24):
+        if (c := at - timedelta(hours=k)).hour in hours:
             return c
-    raise ModelError("no cycle within two days", hours=list(hours))
+    raise ModelError("a model needs a cycle hour", hours=list(hours))
 
 
 #: Fixed value: the day from which the blend's runs start at 0, 6, 12 and 18 instead of 1, 7, 13 and 19.

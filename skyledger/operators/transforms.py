@@ -60,13 +60,15 @@ _ROLLING: dict[str, Callable[[Column], Column]] = {
 
 
 def rolling(df: DataFrame, column: str, window: int, fn: str | Callable[[Column], Column] = "mean", *, partition_by: list[str], order_by: list[str]) -> DataFrame:
-    """{column}_rolling_{window}_{fn} over the row and the window - 1 before it, from the first value on. fn: mean, median, min, max, std, var, sum, count, or a function from a column to an aggregate."""
+    """{column}_rolling_{window}_{fn} over the row and the window - 1 before it, from the first value on. fn: mean, median, min, max, std, var, sum, count, or a function from the array of the window's values (nulls left out) to a column."""
     if window < 1:
         raise ValueError("window must be 1 or more")
     if isinstance(fn, str) and fn not in _ROLLING:
         raise ValueError(f"no rolling function {fn!r}; known: {sorted(_ROLLING)}")
-    make, name = (_ROLLING[fn], fn) if isinstance(fn, str) else (fn, getattr(fn, "__name__", "fn"))
-    return df.withColumn(f"{column}_rolling_{window}_{name}", make(F.col(column)).over(_over(partition_by, order_by).rowsBetween(1 - window, 0)))
+    over = _over(partition_by, order_by).rowsBetween(1 - window, 0)
+    if isinstance(fn, str):
+        return df.withColumn(f"{column}_rolling_{window}_{fn}", _ROLLING[fn](F.col(column)).over(over))
+    return df.withColumn(f"{column}_rolling_{window}_{getattr(fn, '__name__', 'fn').strip('<>')}", fn(F.collect_list(column).over(over)))
 
 
 def calendar_features(df: DataFrame, column: str, tz: str | None = None) -> DataFrame:
