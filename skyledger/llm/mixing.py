@@ -26,7 +26,7 @@ SHARE, CAP = 1.5, 2
 #: Slots of the schedule at least; with more documents than that, one for each.
 LEAST_SLOTS = 131_072
 #: Rows of a bucket, about.
-BUCKET = 4096
+BUCKET = 1024
 _LOW = 1 << 20
 
 
