@@ -14,7 +14,7 @@ the digest alone, which is exact where a digest has one text; digests with sever
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import whole_text, written
@@ -22,9 +22,13 @@ from ._shared import whole_text, written
 SALTS = 16
 
 
+def _digest(text: Column) -> Column:
+    return F.sha2(text, 256)
+
+
 def _digests(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = whole_text(text_col)
-    return df.select(F.col(id_col).alias("doc_id"), F.sha2(text, 256).alias("digest"), text.alias("body"))
+    return df.select(F.col(id_col).alias("doc_id"), _digest(text).alias("digest"), text.alias("body"))
 
 
 def winners(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
@@ -75,7 +79,7 @@ def deduplicate(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     rest = [c for c in df.columns if c != text_col]
     text = whole_text(text_col)
     row = F.struct(*[F.col(c).alias(f"c{k}") for k, c in enumerate(rest)], F.col(text_col).isNull().alias("none"), F.struct(F.col(id_col)).alias("order"))
-    rows = df.select(F.sha2(text, 256).alias("digest"), F.pmod(F.xxhash64(id_col), F.lit(salts)).cast("int").alias("salt"), text.alias("body"), row.alias("row"))
+    rows = df.select(_digest(text).alias("digest"), F.pmod(F.xxhash64(id_col), F.lit(salts)).cast("int").alias("salt"), text.alias("body"), row.alias("row"))
     salted = rows.groupBy("digest", "salt", "body").agg(F.max_by("row", "row.order").alias("row"))
     best = salted.groupBy("digest", "body").agg(F.max_by("row", "row.order").alias("row"))
     columns = {c: F.col(f"row.c{k}") for k, c in enumerate(rest)} | {text_col: F.when(~F.col("row.none"), F.col("body"))}

@@ -246,6 +246,17 @@ def test_exact_dedup(docs, none):
     assert assign(none).count() == 0 and deduplicate(none).count() == 0
 
 
+def test_exact_dedup_tells_texts_of_one_digest_apart(docs, monkeypatch):
+    from skyledger.llm import exact_dedup
+
+    columns = ["doc_id", "keep_id", "group_size", "kept"]
+    want = _rows(exact_dedup.assign(docs).select(*columns))
+    kept = sorted(r.doc_id or -1 for r in exact_dedup.deduplicate(docs).collect())
+    monkeypatch.setattr(exact_dedup, "_digest", lambda text: F.substring(F.sha2(text, 256), 1, 1))
+    assert _rows(exact_dedup.assign(docs).select(*columns)) == want
+    assert sorted(r.doc_id or -1 for r in exact_dedup.deduplicate(docs).collect()) == kept
+
+
 def test_licences(spark, none):
     from skyledger.llm.licences import OTHERS, SENTENCES, scan
 
