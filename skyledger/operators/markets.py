@@ -99,6 +99,14 @@ def outcomes(df: DataFrame, names: str = "outcomes", prices: str = "outcomePrice
     return df.select(*keep, F.explode(pairs).alias("_o")).select(*keep, F.col("_o.outcome").alias("outcome"), F.col("_o.price").try_cast("double").alias("price"))
 
 
+def price_history(df: DataFrame, payload: str = "payload", source: str = "polymarket") -> DataFrame:
+    """One row per point of a price history (a JSON text with history: [{t, p}]): ts, price, source; points without a time are left out."""
+    keep = [c for c in df.columns if c != payload]
+    points = F.from_json(_key(F.col(payload), "history"), "array<struct<t:bigint,p:double>>")
+    rows = df.select(*keep, F.explode(points).alias("_p")).filter(F.col("_p.t").isNotNull())
+    return rows.select(*keep, F.timestamp_seconds("_p.t").alias("ts"), F.col("_p.p").alias("price"), F.lit(source).alias("source"))
+
+
 # -- contracts and events
 
 
@@ -208,6 +216,13 @@ def resolve_events(events: DataFrame, cities: DataFrame) -> DataFrame:
     return rows.withColumn("status", status).drop("_url", "_city", "_high", "_low", "_default")
 
 
+def discover_events(events: DataFrame, cities: DataFrame) -> DataFrame:
+    """resolve_events() for a listing: events of unknown cities are left out, deferred ones stay without icao and measure."""
+    rows = resolve_events(events, cities).filter(F.col("status") != "unknown_city")
+    held = F.col("status") == "deferred"
+    return rows.withColumns({"icao": F.when(~held, F.col("icao")), "measure": F.when(~held, F.col("measure"))})
+
+
 def settle(events: DataFrame, extremes: DataFrame, stations: DataFrame, now: datetime | Column) -> DataFrame:
     """resolve_events()'s rows settled by daily_extremes(): observed_value_c, observed_source, n_obs and status, which adds too_early, no_extremes and low_coverage; settled is what went well.
 

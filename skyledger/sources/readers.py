@@ -209,6 +209,57 @@ def mos_rows(df: DataFrame, station: str = "station") -> DataFrame:
     )
 
 
+def read_mos_json(spark: SparkSession, path: str) -> DataFrame:
+    """mos_rows() of payloads with a data array."""
+    item = "station:string,model:string,runtime:string,ftime:string,tmp:string,dpt:string,wsp:string,wdr:string,pop12:string"
+    payloads = spark.read.schema(f"data array<struct<{item}>>").json(path, multiLine=True)
+    return mos_rows(payloads.select(F.inline("data")))
+
+
+#: Endpoints of the point-forecast feed and the source tag of their rows.
+ENDPOINTS = {"single_runs": "open_meteo.single_runs", "previous_runs": "open_meteo.previous_runs", "live": "open_meteo.live", "seamless": "open_meteo.seamless"}
+
+
+def point_forecast_rows(df: DataFrame, model: str, endpoint: str, *, days: int = 1, run: Column | None = None, now: Column | None = None) -> DataFrame:
+    """Rows of hourly_rows() as forecast rows. issued_at by endpoint: the run itself; a bound from ``days`` ahead; the newest published cycle at ``now``; unknown (null, forecast_hour 0) for the seamless one. A chance in percent becomes a fraction."""
+    from ..functions import models
+    from ..functions import temporal as T
+
+    if endpoint not in ENDPOINTS:
+        raise ValueError(f"no endpoint {endpoint!r}")
+    m = models.point(model)
+    issued = {
+        "single_runs": lambda: run,
+        "previous_runs": lambda: T.issued_at_previous_day("valid_at", days, m.hours),
+        "live": lambda: T.issued_at_live(now if now is not None else F.current_timestamp(), 60 * (m.lag_hours or 0), m.hours),
+        "seamless": lambda: F.lit(None),
+    }[endpoint]().cast("timestamp")
+    hour = F.coalesce(F.rint((F.unix_timestamp("valid_at") - F.unix_timestamp(issued)) / 3600).cast("bigint"), F.lit(0).cast("bigint"))
+    get = lambda c: U.finite(c) if c in df.columns else F.lit(None).cast("double")
+    return df.select(
+        *(["station"] if "station" in df.columns else []),
+        F.lit(model).alias("model"),
+        issued.alias("issued_at"),
+        "valid_at",
+        hour.alias("forecast_hour"),
+        get("temperature_2m").alias("temp_c"),
+        get("dew_point_2m").alias("dew_point_c"),
+        get("wind_speed_10m").alias("wind_speed_ms"),
+        (get("precipitation_probability") / 100).alias("pop"),
+        F.lit(ENDPOINTS[endpoint]).alias("source"),
+    )
+
+
+def with_unit_names(df: DataFrame, schema_id: str, system: str) -> DataFrame:
+    """Columns under the schema's names for a unit system: names only, no value changes."""
+    from ..schemas import lookup
+
+    if system not in ("metric", "imperial"):
+        raise ValueError(f"no unit system {system!r}")
+    schema = lookup(schema_id)
+    return df.withColumnsRenamed(schema.metric_names if system == "metric" else schema.imperial_names)
+
+
 def hourly_rows(df: DataFrame, hourly: str = "hourly", variables: tuple[str, ...] = ("temperature_2m",)) -> DataFrame:
     """Parallel arrays of a columnar payload (a struct with time and variables) as one row per time; short arrays are padded with null."""
     keep = [c for c in df.columns if c != hourly]

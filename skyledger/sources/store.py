@@ -20,6 +20,16 @@ LAYOUTS = {
 _TIME = {"observations": "observed_at", "climate": "observation_date", "forecasts": "valid_at", "trades": "ts", "qc": "observed_at"}
 
 
+LIVE_HOURS = 168
+
+
+def live_overlaps(year: int, month: int, now: datetime) -> bool:
+    """Whether a month reaches into the last 168 hours, which the live feed still has."""
+    first = datetime(year, month, 1, tzinfo=UTC)
+    after = datetime(year + month // 12, month % 12 + 1, 1, tzinfo=UTC)
+    return first <= now and after > now - timedelta(hours=LIVE_HOURS)
+
+
 class Store:
     """Tables below root/<kind>/<version>. The version is part of the path, so rows of another layout are never read."""
 

@@ -273,6 +273,8 @@ def test_settlement_statuses(spark):
     cities = spark.createDataFrame(stations.event_cities(), "city string, measure string, icao string")
     resolved = markets.resolve_events(df, cities)
     assert {r.id: (r.status, r.icao) for r in resolved.collect()} == {"1": ("ok", "LFPG"), "2": ("bad_description", "LFPB"), "3": ("deferred", "RCTP"), "4": ("ok", "KNYC"), "5": ("no_date", "LFPG"), "é": ("bad_id", "LFPG")}
+    listed = {r.id: (r.icao, r.measure) for r in markets.discover_events(df, cities).collect()}
+    assert listed["3"] == (None, None) and listed["1"] == ("LFPG", "high") and len(listed) == 6
     days = spark.createDataFrame([("LFPG", date(2024, 7, 3), 10.0, 25.0, 20, "iem", "awc"), ("KNYC", date(2024, 7, 4), 1.0, 2.0, 20, "iem", "iem")], "station string, local_date date, tmin_c double, tmax_c double, n_obs bigint, source_tmin string, source_tmax string")
     done = {r.id: (r.status, r.observed_value_c) for r in markets.settle(resolved, days, REGISTRY.table(spark), datetime(2024, 7, 5, 3, tzinfo=UTC)).collect()}
     assert done["1"] == ("settled", 25.0) and done["4"] == ("too_early", None) and done["3"] == ("deferred", None)
@@ -287,7 +289,9 @@ def test_contracts_and_selectors():
     assert stations.city_stations("chicago") == ["KMDW", "KORD"] and stations.zone_of("ORD") == "America/Chicago" and len(REGISTRY.stations) == 66
 
 
-def test_fills_and_disagreement(spark):
+def test_fills_and_prices(spark):
+    history = spark.createDataFrame([("m", '{"history": [{"t": 10, "p": 0.5}, {"p": 1}]}')], "market string, payload string")
+    assert [(r.market, r.price) for r in markets.price_history(history).collect()] == [("m", 0.5)]
     df = spark.createDataFrame([('{"trade_id":"t","yes_price_dollars":"0.5600","count_fp":"3.00","taker_side":"yes","created_time":"2024-01-01T00:00:00Z"}',), ('{"yes_price":40,"count":2}',)], "payload string")
     assert [(round(r.price, 6), r["count"]) for r in markets.fills(df).collect()] == [(56.0, 3), (40.0, 2)]
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from skyledger import errors
 from skyledger.schemas import OBSERVATION
 from skyledger.sources import formats, readers
-from skyledger.sources.store import Store
+from skyledger.sources.store import Store, live_overlaps
 from skyledger.streaming import live
 
 
@@ -67,6 +67,20 @@ def test_forecast_feeds(spark):
     assert [r.temperature_2m for r in readers.hourly_rows(payload, variables=("temperature_2m", "absent")).orderBy("valid_at").collect()] == [1.0, None]
 
 
+def test_point_forecasts(spark, tmp_path):
+    df = spark.createDataFrame([("NYC", datetime(2024, 1, 2, 7, tzinfo=UTC), 5.0, 40.0)], "station string, valid_at timestamp, temperature_2m double, precipitation_probability double")
+    get = lambda endpoint, **o: readers.point_forecast_rows(df, "gfs_global", endpoint, **o).withColumn("issued_at", F.date_format("issued_at", "MM-dd HH")).first()
+    assert (get("previous_runs").issued_at, get("previous_runs").forecast_hour, get("previous_runs").pop) == ("01-01 06", 25, 0.4)
+    assert (get("seamless").issued_at, get("seamless").forecast_hour) == (None, 0)
+    assert get("live", now=F.lit(datetime(2024, 1, 2, 5, tzinfo=UTC))).issued_at == "01-01 18"
+    with pytest.raises(ValueError):
+        get("other")
+    (tmp_path / "m.json").write_text(json.dumps({"data": [{"station": "KNYC", "model": "nbe", "runtime": "2024-01-01 01:00", "ftime": "2024-01-01 03:00", "tmp": 50}]}))
+    assert readers.read_mos_json(spark, str(tmp_path / "m.json")).first().temp_c == 10.0
+    renamed = readers.with_unit_names(spark.createDataFrame([(1.0,)], "temp_c double"), "schema.observation.v1", "imperial")
+    assert renamed.columns == ["temp_f"]
+
+
 def test_grid_indexes(spark, tmp_path):
     (tmp_path / "a.idx").write_text("1:0:d=2024010100:TMP:2 m above ground:anl:\n2:100:d=2024010100:UGRD:10 m above ground:anl:\n3:100:d=2024010100:VGRD:10 m above ground:anl:\n4:250:d=2024010100:TMP:surface:anl:\n")
     index = readers.read_index_text(spark, str(tmp_path / "a.idx"))
@@ -95,6 +109,8 @@ def test_store(spark, tmp_path):
     assert store.invalidate("observations", station_code="NYC", year=2024, month=1) and store.read("observations").count() == 1
     with pytest.raises(errors.CacheError):
         store.invalidate("observations", year=2024)
+    now = datetime(2024, 3, 5, tzinfo=UTC)
+    assert live_overlaps(2024, 2, now) and live_overlaps(2024, 3, now) and not live_overlaps(2024, 1, now) and not live_overlaps(2024, 4, now)
 
 
 _CELLS = st.one_of(st.none(), st.booleans(), st.integers(-(10**9), 10**9), st.text(max_size=12), st.floats(allow_nan=False, allow_infinity=False, width=32))
