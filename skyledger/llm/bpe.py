@@ -149,7 +149,7 @@ def encode(df: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(tokenizer, leaf, window)
-        for part in (p for b in batches for p in slices(b, limit=2 << 20)):
+        for part in (p for b in batches for p in slices(b, limit=1 << 20)):
             ids = c.encode(part.column("body").to_pylist())
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
@@ -177,7 +177,7 @@ def round_trip_digests(df: DataFrame, tokenizer: str, *, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(tokenizer, leaf, window)
-        for part in (p for b in batches for p in slices(b, limit=2 << 20)):
+        for part in (p for b in batches for p in slices(b, limit=1 << 20)):
             n, hashes, texts = [], [], []
             for ids in c.encode(part.column("body").to_pylist()):
                 n.append(len(ids))

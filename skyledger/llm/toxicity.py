@@ -47,7 +47,7 @@ _LETTERS = re.compile(r"[\W\d_]")
 _PUNCTUATION, _MARKS, _SYMBOLS = ".,;:!?\"'()-", frozenset(".,;:'\"()-"), frozenset("$%&#*@^~")
 _WIDTH = 17
 #: Bytes of text whose words are looked at together.
-SLICE = 2 << 20
+SLICE = 1 << 20
 #: Words whose properties a worker remembers (about 200 bytes each).
 KEPT = 120_000
 
@@ -184,7 +184,7 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, halves, toxic = zip(*counts, strict=True)
         return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(halves, pa.int32()), pa.array(toxic, pa.int32()), pa.array(counts.values(), pa.int64())], ["term", "half", "toxic", "texts"])
 
-    for part in (p for b in batches for p in slices(b, limit=SLICE // 4)):
+    for part in (p for b in batches for p in slices(b, limit=SLICE // 2)):
         ids = part.column("doc_id").to_pylist()
         for half, text, y in zip(_half(ids).tolist(), part.column("body").to_pylist(), part.column("toxic").to_pylist(), strict=True):
             counts.update((t, half, y) for t in {t for w in set(text.split()) for t in beginnings(core(w))})
