@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.temporal import market_close, settlement_date, settlement_end, settlement_start, spine, utc_envelope
 from ..functions.units import finite
-from ..operators.aggregates import best_run, nwp_aggregates, obs_aggregates, run_aggregates, series_aggregates
+from ..operators.aggregates import OBS_AGGREGATES, best_run, nwp_aggregates, obs_aggregates, run_aggregates, series_aggregates
 from ..operators.asof import pin_source
 from ..operators.merge import merge_climate, merge_observations
 from ..stations import REGISTRY, Registry
@@ -59,7 +59,10 @@ def pairs(obs: DataFrame, climate: DataFrame | None, stations: DataFrame, start:
     every = dim.crossJoin(spine(spark, start, stop))  # stations x days, the shape of the result
     offset = F.col("lst_offset_seconds")
     keys = ["station_code", "date"]
-    daily = obs_aggregates(day_rows(obs if merged else merge_observations(obs), dim, start, stop), keys)
+    # what isn't aggregated is left out before the merge, whose winners are whole rows: so scans read these columns alone
+    needed = ["station_code", "observed_at", "observation_type", "source", *(c for c in dict.fromkeys(x for _, x in OBS_AGGREGATES.values()) if c in obs.columns)]
+    rows = obs if merged else merge_observations(obs.select(*needed))
+    daily = obs_aggregates(day_rows(rows, dim, start, stop), keys)
     out = every.join(daily, keys, "left")
     if climate is not None:
         cli = merge_climate(climate.filter(F.col("observation_date").between(F.lit(start), F.lit(stop))))

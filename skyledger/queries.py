@@ -43,6 +43,10 @@ OBS_SQL = """obs AS (
   FROM events)"""
 MERGED_SQL = OBS_SQL + """, merged AS (
   SELECT * FROM obs QUALIFY row_number() OVER (PARTITION BY station_code, observed_at, observation_type ORDER BY CASE source WHEN 'awc' THEN 3 WHEN 'iem' THEN 2 WHEN 'ghcnh' THEN 1 ELSE 0 END DESC, source, seq) = 1)"""
+#: As MERGED_SQL, of the columns that daily aggregates need: ties are broken by these.
+DAILY_SQL = OBS_SQL + """, merged AS (
+  SELECT * FROM obs QUALIFY row_number() OVER (PARTITION BY station_code, observed_at, observation_type ORDER BY CASE source WHEN 'awc' THEN 3 WHEN 'iem' THEN 2 WHEN 'ghcnh' THEN 1 ELSE 0 END DESC, source,
+    temp_f NULLS LAST, dewpoint_f NULLS LAST, wind_speed_kt NULLS LAST, wind_gust_kt NULLS LAST, precip_1hr_inches NULLS LAST) = 1)"""
 CLI_SQL = """cli AS (
   SELECT o_orderkey AS seq, CASE o_custkey % 5 WHEN 0 THEN 'NYC' WHEN 1 THEN 'MDW' WHEN 2 THEN 'DEN' WHEN 3 THEN 'LAX' ELSE 'PHX' END AS station_code,
          CAST(DATE '2024-01-01' + CAST(o_orderkey % 28 AS INTEGER) AS DATE) AS observation_date,
@@ -193,7 +197,7 @@ _OBS_OUT = "round(obs_high_f, 6) + 0.0 AS obs_high_f, round(obs_low_f, 6) + 0.0
 _CLOSE = "CAST(date AS TIMESTAMP) - to_seconds(lst) + INTERVAL '16 hours 30 minutes'"
 
 
-@query(f"WITH {MERGED_SQL}, {_DAYS_SQL} SELECT date, station_code AS station, {_OBS_OUT} FROM spine LEFT JOIN daily USING (station_code, date)")
+@query(f"WITH {DAILY_SQL}, {_DAYS_SQL} SELECT date, station_code AS station, {_OBS_OUT} FROM spine LEFT JOIN daily USING (station_code, date)")
 def obs_daily(spark, d):
     return plan.obs_daily(list(CODES), FIRST, LAST, obs=_obs(spark, d))
 
@@ -207,7 +211,7 @@ def _cli_plain(spark, d):
     return _cli(spark, d).select("station_code", "observation_date", "high_temp_f", "low_temp_f", "report_type", "report_type_priority")
 
 
-@query(f"WITH {MERGED_SQL}, {CLI_SQL}, {_DAYS_SQL}, {_CLI_BEST} SELECT date, station_code AS station, {_CLI_OUT}, {_OBS_OUT}, {_NO_FCST}, {_CLOSE} AS market_close_utc FROM spine LEFT JOIN daily USING (station_code, date) LEFT JOIN best USING (station_code, date)")
+@query(f"WITH {DAILY_SQL}, {CLI_SQL}, {_DAYS_SQL}, {_CLI_BEST} SELECT date, station_code AS station, {_CLI_OUT}, {_OBS_OUT}, {_NO_FCST}, {_CLOSE} AS market_close_utc FROM spine LEFT JOIN daily USING (station_code, date) LEFT JOIN best USING (station_code, date)")
 def pairs_flagship(spark, d):
     return plan.research(list(CODES), FIRST, LAST, obs=_obs(spark, d), climate=_cli_plain(spark, d)).frame
 
@@ -244,7 +248,7 @@ def forecast_series_aggregates(spark, d):
     return aggregates.series_aggregates(_windows(spark, d).filter("issued_at IS NULL"), ["station_code", "date"])
 
 
-@query(f"""WITH {MERGED_SQL}, {CLI_SQL}, {FCST_SQL}, {_DAYS_SQL}, {_CLI_BEST}, {_FDAYS}
+@query(f"""WITH {DAILY_SQL}, {CLI_SQL}, {FCST_SQL}, {_DAYS_SQL}, {_CLI_BEST}, {_FDAYS}
 SELECT date, station_code AS station, {_CLI_OUT}, {_OBS_OUT},
   round(CASE WHEN run_high_f IS NULL AND s_model IS NOT NULL THEN s_high ELSE run_high_f END, 6) + 0.0 AS fcst_high_f, round(CASE WHEN run_high_f IS NULL AND s_model IS NOT NULL THEN s_low ELSE run_low_f END, 6) + 0.0 AS fcst_low_f,
   CASE WHEN run_high_f IS NULL AND s_model IS NOT NULL THEN s_model ELSE run_model END AS fcst_model, run_issued_at AS fcst_issued_at,
@@ -273,7 +277,7 @@ def nwp_pivot_asof(spark, d):
     return aggregates.nwp_aggregates(_nwp(spark, d), ["station_code", "date"], ["hrrr", "gfs"], "market_close_utc")
 
 
-@query(f"""WITH {MERGED_SQL}, {CLI_SQL}, {_DAYS_SQL}, {_CLI_BEST} SELECT date, station_code AS station, round(high_temp_f - obs_high_f, 6) + 0.0 AS cli_metar_delta_f, abs(high_temp_f - obs_high_f) <= 60 AS settlement_consistent
+@query(f"""WITH {DAILY_SQL}, {CLI_SQL}, {_DAYS_SQL}, {_CLI_BEST} SELECT date, station_code AS station, round(high_temp_f - obs_high_f, 6) + 0.0 AS cli_metar_delta_f, abs(high_temp_f - obs_high_f) <= 60 AS settlement_consistent
 FROM spine LEFT JOIN daily USING (station_code, date) LEFT JOIN best USING (station_code, date)""")
 def settlement_consistency(spark, d):
     frame = plan.research(list(CODES), FIRST, LAST, obs=_obs(spark, d), climate=_cli_plain(spark, d)).frame

@@ -270,8 +270,12 @@ class Registry:
 
     def table(self, spark: SparkSession) -> DataFrame:
         """The dimension: code, icao, tz, latitude, longitude, country, venues, lst_offset_seconds."""
-        rows = [(s.code, s.icao, s.tz, s.latitude, s.longitude, s.country, list(s.venues), s.lst_offset_seconds) for s in self.stations.values()]
-        return spark.createDataFrame(rows, "code string, icao string, tz string, latitude double, longitude double, country string, venues array<string>, lst_offset_seconds int")
+        columns = "code, icao, tz, latitude, longitude, country, venues, lst_offset_seconds"
+        if not self.stations:
+            return spark.sql(f"SELECT * FROM VALUES ('', '', '', 0D, 0D, '', array(''), 0) AS t({columns}) WHERE false")
+        text = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        rows = [f"({text(s.code)}, {text(s.icao)}, {text(s.tz)}, {s.latitude!r}D, {s.longitude!r}D, {text(s.country)}, cast(array({', '.join(map(text, s.venues))}) AS array<string>), {s.lst_offset_seconds})" for s in self.stations.values()]
+        return spark.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS t({columns})")  # a local relation: no job and no Python is needed to read it
 
 
 REGISTRY = Registry()
