@@ -14,6 +14,7 @@ from ..functions.units import finite
 from ..operators.aggregates import OBS_AGGREGATES, best_run, nwp_aggregates, obs_aggregates, run_aggregates, series_aggregates
 from ..operators.asof import pin_source
 from ..operators.merge import merge_climate, merge_observations
+from ..operators.qc import apply_qc, qc_summary, to_qc_columns
 from ..stations import REGISTRY, Registry
 
 #: A request of more days than this reads the merged store; fewer may read what was fetched for them. The plan is the same.
@@ -101,14 +102,15 @@ def pairs(obs: DataFrame, climate: DataFrame | None, stations: DataFrame, start:
     return out.select("date", F.col("station_code").alias("station"), "cli_high_f", "cli_low_f", "cli_report_type", *obs_columns, *_FORECAST, *more, "market_close_utc")
 
 
-def research(station: str | list[str], start: date, stop: date, *, obs: DataFrame, climate: DataFrame | None = None, registry: Registry = REGISTRY, source: str | None = None, **options) -> Result:
-    """pairs() for stations by name, wrapped with its provenance. source pins the observations before they are merged."""
+def research(station: str | list[str], start: date, stop: date, *, obs: DataFrame, climate: DataFrame | None = None, registry: Registry = REGISTRY, source: str | None = None, qc: bool = False, **options) -> Result:
+    """pairs() for stations by name, wrapped with its provenance. source pins the observations before they are merged; qc adds a summary of the rules over the rows before the merge, which stay as they are."""
     spark = obs.sparkSession
     names = [station] if isinstance(station, str) else station
     chosen = Registry({s.code: s for s in map(registry.get, names)})
     rows = pin_source(obs, source) if source else obs
     rows = rows.filter(F.col("station_code").isin(*chosen.stations))
-    return Result(pairs(rows, climate, chosen.table(spark), start, stop, **options), source or "merged", "pairs.v1", notes={"nwp_as_of_close": options.get("nwp_as_of_close", False)})
+    summary = qc_summary(apply_qc(to_qc_columns(rows))) if qc else None
+    return Result(pairs(rows, climate, chosen.table(spark), start, stop, **options), source or "merged", "pairs.v1", qc=summary, notes={"nwp_as_of_close": options.get("nwp_as_of_close", False)})
 
 
 def obs_daily(station: str | list[str], start: date, stop: date, *, obs: DataFrame, registry: Registry = REGISTRY, source: str | None = None, strategy: str = "auto") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -56,6 +56,11 @@ def latest_one(df: DataFrame, station: str) -> dict:
     return row.asDict()
 
 
+def write_latest(stream: DataFrame, sink: Callable[[DataFrame, int], None], **trigger):
+    """Starts a query that gives ``sink`` the newest row of each station of every micro-batch, with the batch's number; a sink that keeps the number is safe against a batch that comes twice."""
+    return stream.writeStream.foreachBatch(lambda batch, k: sink(latest(batch), k)).trigger(**trigger)
+
+
 def changes(df: DataFrame, station: str = "station_code", at: str = "observed_at", seq: str = "seq") -> DataFrame:
     """Rows whose time differs from the row before in order of arrival (seq): an older time is a change, too; a second row of the same time isn't. The batch form of changes_stream()."""
     before = F.lag(at).over(Window.partitionBy(station).orderBy(seq))

@@ -84,6 +84,8 @@ def test_pairs_have_every_day(spark):
     assert sorted(out) == [3, 4, 5]
     assert (out[4].obs_high_f, out[4].obs_low_f, out[4].obs_mean_f, out[4].obs_count, out[4].obs_total_precip_in) == (80.0, 70.0, 75.0, 3, 0.1)
     assert (out[3].obs_count, out[3].obs_high_f, out[3].fcst_high_f) == (0, None, None)
+    result = pairs.research("KNYC", date(2024, 7, 4), date(2024, 7, 4), obs=obs(spark, rows + [row(9, c=99.0)]), qc=True, source="iem")
+    assert (result.qc.first().flagged, result.qc.first().total, result.source, result.frame.count()) == (1, 4, "iem", 1)
     empty = pairs.pairs(obs(spark, []), None, dim, date(2024, 7, 3), date(2024, 7, 4))
     assert [r.obs_count for r in empty.collect()] == [0, 0] and set(schemas.PAIRS.names) == set(empty.columns)
     assert temporal.spine(spark, date(2024, 1, 2), date(2024, 1, 1)).count() == 0

@@ -155,6 +155,16 @@ def test_latest(spark):
         live.latest_one(df, "XXX")
 
 
+def test_latest_of_each_batch(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    (source / "a.json").write_text("".join(json.dumps({"station_code": "NYC", "observed_at": t, "observation_type": "METAR"}) + "\n" for t in ("t2", "t1")))
+    stream = live.read_files(spark, str(source), "station_code string, observed_at string, observation_type string")
+    seen = []
+    live.write_latest(stream, lambda df, k: seen.append((k, [r.observed_at for r in df.collect()])), availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start().awaitTermination(120)
+    assert seen == [(0, ["t2"])]
+
+
 def test_streamed_changes_are_the_batch_ones(spark, tmp_path):
     source, out = tmp_path / "in", tmp_path / "out"
     source.mkdir()
