@@ -5,20 +5,22 @@ on the sentences below and variants of them, a fixed and small set. Its margins
 the fit hasn't seen, and a paragraph for which no family reaches probability one half is of the unknown class. A family
 that is predicted is confirmed by comparison with that family's sentences: the share of 3-word shingles in common.
 
-Paragraphs are lines. Only lines that hold one of STEMS are looked at; every other line is unknown. Weights and shingles
-are tables of a few thousand rows, fixed by the sentences and not by the corpus, so they may be broadcast.
+Paragraphs are lines. A line is scored unless it holds none of the words without which no family can reach the least
+probability whatever else the line holds: these words follow from the weights, so no line is lost. Weights and shingles are
+tables of a few thousand rows, fixed by the sentences and not by the corpus, so they may be broadcast.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import re
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import whole_text
+from ._shared import whole_text, written
 
 #: Notices and key sentences of public licences.
 SENTENCES = {
@@ -93,7 +95,7 @@ SENTENCES = {
         "This software is proprietary and confidential; unauthorized copying is prohibited. Copyright, all rights reserved.",
     ],
 }
-#: Sentences that hold the stems and grant nothing.
+#: Sentences that hold words of licences and grant nothing.
 OTHERS = [
     "She renewed her driving licence at the office last week.",
     "The restaurant lost its liquor license after the inspection.",
@@ -112,8 +114,24 @@ OTHERS = [
     "Which license should I choose for my project?",
     "The court ruled on copyright in software and on open source licenses in general.",
 ]
-STEMS = ("licen", "copyright", "permission", "redistribut", "warrant", "gnu ", "creative commons", "cc by", "cc-by", "cc0", "public domain", "rights reserved", "spdx")
-_WORDS = r"[\p{L}\p{N}]+(?:[.+-][\p{L}\p{N}]+)*"
+#: Ordinary prose. Every line is scored, so the fit has to see what words like "the" or the German "mit" mean there.
+PROSE = [
+    "The children walked to the river in the morning, and it was as cold as it had been on the day of the first snow.",
+    "This is the house that he built for his brother, at the end of a road which no one used.",
+    "An answer to the question is given by the teacher, or it can be read from the notes on this page.",
+    "They are to be found in all parts of the country, with the most of them near the coast.",
+    "Sie fuhr mit dem Zug nach Berlin und kam mit einem Koffer zurück.",
+    "Er sprach mit der Nachbarin über das Wetter, und die Kinder spielten im Garten.",
+    "Die Suppe wird mit Salz und Pfeffer gewürzt und ist in einer Stunde fertig.",
+    "Mit den Jahren wurde das Haus zu klein für die Familie.",
+    "Le train est parti de la gare avec une heure de retard, et il n'y avait pas de place pour tous.",
+    "Les enfants jouent dans le jardin, et la porte est ouverte sur la rue.",
+    "La casa está en el centro de la ciudad, con una puerta que da a la plaza por la que pasan los coches.",
+    "El libro que compró para su hermana es de un autor que no conocía.",
+    "Komm doch mit.",
+]
+#: Possessive, so that a long word such as "a-a-a-..." isn't matched by recursion.
+_WORDS = r"[\p{L}\p{N}]++(?:[.+-][\p{L}\p{N}]++)*+"
 _GRAMS, LEAST, ALIKE = 3, 0.5, 0.6
 
 
@@ -137,7 +155,7 @@ def classifier() -> tuple[list[tuple[str, str, float]], list[tuple[str, float, f
 
     families = list(SENTENCES)
     rows = [(v, f, k) for f, ss in SENTENCES.items() for s in ss for k, v in enumerate(_variants(s))]
-    rows += [(v, "", k) for s in OTHERS for k, v in enumerate(_variants(s))]
+    rows += [(v, "", k) for s in OTHERS + PROSE for k, v in enumerate(_variants(s))]
     vocabulary = {g: k for k, g in enumerate(sorted({g for v, _, _ in rows for g in _grams(v)}))}
     x = np.zeros((len(rows), len(vocabulary)))
     for r, (v, _, _) in enumerate(rows):
@@ -172,24 +190,46 @@ def classifier() -> tuple[list[tuple[str, str, float]], list[tuple[str, float, f
     return weights, calibrated
 
 
+def telling(weights: list[tuple[str, str, float]], calibrated: list[tuple[str, float, float, float]], least: float = LEAST) -> list[str]:
+    """The words of the vocabulary but for ordinary ones that can't carry a line on their own: the n-grams that consist of
+    those alone have positive weights that sum to less than any family needs for probability ``least``.
+    """
+    logit = math.log(least / (1 - least)) if 0 < least < 1 else math.copysign(math.inf, least - 0.5)
+    need = {f: (logit - offset) / slope - bias for f, bias, slope, offset in calibrated}
+    positive: dict[str, list[tuple[frozenset[str], str, float]]] = {}
+    strongest: dict[str, float] = {}
+    for g, f, w in weights:
+        words = frozenset(g.split())
+        for x in words:
+            positive.setdefault(x, []).append((words, f, max(w, 0.0)))
+            if g == x:
+                strongest[x] = max(strongest.get(x, 0.0), w)
+    idle: set[str] = set()
+    for x in sorted({x for s in PROSE for x in _grams(s, range(1, 2))} & positive.keys(), key=lambda x: (strongest.get(x, 0.0), x)):
+        left = dict(need)
+        for words, f, w in positive[x]:
+            if words <= idle | {x}:
+                left[f] -= w
+        if min(left.values()) > 1e-6:
+            idle.add(x)
+            need = left
+    return sorted(positive.keys() - idle)
+
+
+def _words(c: Column | str) -> Column:
+    return F.regexp_extract_all(F.lower(c), F.lit(_WORDS), F.lit(0))
+
+
 def _shingles(words: Column, n: int) -> Column:
     last = F.size(words) - n
     return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda k: F.array_join(F.slice(words, k + 1, n), " "))).otherwise(F.array().cast("array<string>"))
 
 
-def paragraphs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, paragraph (the line's number from 0), line: every line that holds one of STEMS."""
-    body = whole_text(text_col)
-
-    def holds(c: Column) -> Column:
-        low = F.lower(c)
-        out = F.contains(low, F.lit(STEMS[0]))
-        for s in STEMS[1:]:
-            out = out | F.contains(low, F.lit(s))
-        return out
-
-    rows = df.select(F.col(id_col).alias("doc_id"), body.alias("body")).filter(holds(F.col("body")))
-    return rows.select("doc_id", F.posexplode(F.split("body", "\n")).alias("paragraph", "line")).filter(holds(F.col("line")))
+def paragraphs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
+    """doc_id, paragraph (the line's number from 0), line: every line that could reach probability ``least``."""
+    words = telling(*classifier(), least)
+    rows = df.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(whole_text(text_col), "\n")).alias("paragraph", "line"))
+    return rows.filter(F.exists(_words("line"), lambda w: w.isin(words)))
 
 
 def _fixed(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
@@ -215,17 +255,18 @@ def scan(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least
     families = _fixed(spark, calibrated, "family string, bias double, slope double, offset double")
     templates = _fixed(spark, [(f, k, g, len(gs)) for f, ss in SENTENCES.items() for k, s in enumerate(ss) for gs in [_grams(s, range(_GRAMS, _GRAMS + 1)) or _grams(s, range(1, 2))] for g in gs], "family string, template int, shingle string, n int")
     # a line is scored by its content, once however often it occurs
-    lines = paragraphs(df, id_col, text_col)
-    content = lines.select("line").distinct().withColumn("words", F.regexp_extract_all(F.lower("line"), F.lit(_WORDS), F.lit(0)))
+    lines = written(paragraphs(df, id_col, text_col, least), "op7-lines")  # read three times below
+    content = lines.select("line").distinct().withColumn("words", _words("line"))
+    # outer, so that no filter on the arrays' sizes is pushed into the scan, where it would split the line again for each n-gram
     grams = F.array_distinct(F.concat(*[_shingles(F.col("words"), n) for n in range(1, _GRAMS + 1)]))
-    scored = content.select("line", F.explode(grams).alias("gram")).join(F.broadcast(table), "gram").select("line", F.explode("parts").alias("part"))
+    scored = content.select("line", F.explode_outer(grams).alias("gram")).join(F.broadcast(table), "gram").select("line", F.explode("parts").alias("part"))
     scored = scored.groupBy("line", F.col("part.family").alias("family")).agg(F.sum("part.weight").alias("margin"))
     scored = scored.join(F.broadcast(families), "family")
     probability = 1 / (1 + F.exp(-(F.col("slope") * (F.col("margin") + F.col("bias")) + F.col("offset"))))
     best = scored.groupBy("line").agg(F.max(F.struct(probability.alias("probability"), F.col("family").alias("family"))).alias("top")).select("line", "top.*")
     best = best.filter(F.col("probability") >= least)
     three = F.array_distinct(F.when(F.size("words") >= _GRAMS, _shingles(F.col("words"), _GRAMS)).otherwise(F.col("words")))
-    shingled = content.withColumn("three", three).select("line", F.size("three").alias("m"), F.explode("three").alias("shingle"))
+    shingled = content.withColumn("three", three).select("line", F.size("three").alias("m"), F.explode_outer("three").alias("shingle"))
     shared = shingled.join(F.broadcast(templates), "shingle").groupBy("line", "family", "template").agg((F.count(F.lit(1)) / F.least(F.first("m"), F.first("n"))).alias("share"))
     shared = shared.groupBy("line", "family").agg(F.max("share").alias("similarity"))
     judged = best.join(shared, ["line", "family"], "left").select("line", F.col("family").alias("licence"), F.round("probability", 6).alias("probability"), F.coalesce("similarity", F.lit(0.0)).alias("similarity"))

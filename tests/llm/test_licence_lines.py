@@ -1,0 +1,44 @@
+"""Every line is scored: licence scans against brute force by the classifier's own weights."""
+
+import math
+
+
+def _scored(text):
+    """(probability, family) of the likeliest family, by the weights alone."""
+    from skyledger.llm.licences import _grams, classifier
+
+    weights, calibrated = classifier()
+    grams = _grams(text)
+    margin = {f: b for f, b, _, _ in calibrated}
+    for g, f, w in weights:
+        if g in grams:
+            margin[f] += w
+    return max((1 / (1 + math.exp(-(slope * margin[f] + offset))), f) for f, _, slope, offset in calibrated)
+
+
+def test_lines_are_scored_whatever_words_they_hold(spark):
+    from skyledger.llm.licences import LEAST, SENTENCES, scan
+
+    notices = ["Distributed under the GNU/GPL v3.", "Released under GPLv3.", "Code: BSD 3-Clause", "Released under Apache 2.0", "MPL 2.0", "Creative  Commons", "the gnu", "gnu\tgpl, version 3", "Version 2 of the GNU GPL"]
+    prose = ["Das Kind kam mit der Mutter.", "Mit.", "", "the of and", "He put the work under the table, or so the source said.", "a-" * 100_000 + "a"]
+    words = sorted({w for ss in SENTENCES.values() for s in ss for w in s.split()})
+    parts = [" ".join(words[k::17][n : n + 4]) for k in range(17) for n in range(0, 8, 4)]
+    parts += [" ".join(s.split()[k : k + 5]) for ss in SENTENCES.values() for s in ss for k in range(0, 30, 5) if s.split()[k : k + 5]]
+    lines = notices + prose + parts
+    got = {r.paragraph: (r.licence, r.probability) for r in scan(spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string")).collect()}
+    want = {k: (f, p) for k, (p, f) in enumerate(map(_scored, lines)) if p >= LEAST}
+    assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 2e-6 for k in want)
+    assert got[0][0] == "gpl" and got[2][0] == "bsd"  # neither holds a stem such as "licen"
+    assert not any(k in got for k in range(len(notices), len(notices) + len(prose)))
+
+
+def test_lines_without_a_telling_word_cannot_reach_the_least_probability():
+    from skyledger.llm.licences import LEAST, classifier, telling
+
+    weights, calibrated = classifier()
+    for least in (LEAST, 0.9, 0.2):
+        words = set(telling(weights, calibrated, least))
+        for f, bias, slope, offset in calibrated:
+            most = bias + sum(max(w, 0.0) for g, family, w in weights if family == f and not words & set(g.split()))
+            assert 1 / (1 + math.exp(-(slope * most + offset))) < least
+    assert len(telling(weights, calibrated)) < len({x for g, _, _ in weights for x in g.split()})
