@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -15,8 +16,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
-    """A new path below the folder that the cluster names in spark.checkpoint.dir; where that is unset, below a local one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "skyledger-shared")
+    """A new path below the folder that the cluster names in spark.checkpoint.dir. Where that is unset, a session of one process gets a temporary folder, and any other an error: its executors wouldn't see the driver's files."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        base = os.path.join(tempfile.gettempdir(), "skyledger-shared")
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
@@ -27,6 +32,20 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def packed(df: DataFrame) -> Column:
+    """A whole row of df as one struct with fields c0, c1, ...: beside it, helper columns can't clash with the names of df."""
+    return F.struct(*[F.col(quoted(c)).alias(f"c{k}") for k, c in enumerate(df.columns)])
+
+
+def unpacked(df: DataFrame, like: DataFrame, row: str = "row") -> DataFrame:
+    """The columns of ``like`` again, from the struct that packed() made of them."""
+    return df.select(*[F.col(f"{row}.c{k}").alias(c) for k, c in enumerate(like.columns)])
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def whole_text(text: str | Column = "text") -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 

@@ -3,7 +3,8 @@
 Rows are combined three times, and each time a group is the digest *and* the whole text, so two texts that only share
 a digest stay apart:
 
-1. locally: the map side of the first aggregation leaves one row for each text of an input partition;
+1. locally: rows are salted by their partition, so the map side of the first aggregation leaves one row for each text of
+   an input partition, however often the text stands there;
 2. by (digest, salt): the local winners of a digest meet in ``salts`` places, so that a text which every partition holds
    doesn't send all its local winners to one task;
 3. by digest: at most ``salts`` winners of a text meet.
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import whole_text, written
+from ._shared import quoted, whole_text, written
 
 SALTS = 16
 
@@ -31,11 +32,19 @@ def _digests(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("doc_id"), _digest(text).alias("digest"), text.alias("body"))
 
 
+def _salt(salts: int) -> Column:
+    return F.pmod(F.spark_partition_id(), F.lit(salts))
+
+
+def salted_winners(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
+    """Stages 1 and 2: digest, salt, body, keep_id, group_size. With as many salts as partitions, the rows of stage 1 as they leave their partitions."""
+    rows = _digests(df, id_col, text_col).withColumn("salt", _salt(salts))
+    return rows.groupBy("digest", "salt", "body").agg(F.max("doc_id").alias("keep_id"), F.sum(F.lit(1).cast("long")).alias("group_size"))
+
+
 def winners(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
     """One row for each different text: digest, body, keep_id (its largest id; null if no row has one), group_size."""
-    one = F.lit(1).cast("long")
-    rows = _digests(df, id_col, text_col).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
-    salted = rows.groupBy("digest", "salt", "body").agg(F.max("doc_id").alias("keep_id"), F.sum(one).alias("group_size"))
+    salted = salted_winners(df, id_col=id_col, text_col=text_col, salts=salts)
     return salted.groupBy("digest", "body").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
 
 
@@ -78,8 +87,8 @@ def deduplicate(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     """
     rest = [c for c in df.columns if c != text_col]
     text = whole_text(text_col)
-    row = F.struct(*[F.col(c).alias(f"c{k}") for k, c in enumerate(rest)], F.col(text_col).isNull().alias("none"), F.struct(F.col(id_col)).alias("order"))
-    rows = df.select(_digest(text).alias("digest"), F.pmod(F.xxhash64(id_col), F.lit(salts)).cast("int").alias("salt"), text.alias("body"), row.alias("row"))
+    row = F.struct(*[F.col(quoted(c)).alias(f"c{k}") for k, c in enumerate(rest)], F.col(text_col).isNull().alias("none"), F.struct(F.col(id_col)).alias("order"))
+    rows = df.select(_digest(text).alias("digest"), _salt(salts).alias("salt"), text.alias("body"), row.alias("row"))
     salted = rows.groupBy("digest", "salt", "body").agg(F.max_by("row", "row.order").alias("row"))
     best = salted.groupBy("digest", "body").agg(F.max_by("row", "row.order").alias("row"))
     columns = {c: F.col(f"row.c{k}") for k, c in enumerate(rest)} | {text_col: F.when(~F.col("row.none"), F.col("body"))}
