@@ -77,9 +77,9 @@ def atomic_file(path: str):
         raise
 
 
-def one_task_each(df: DataFrame, most: int = 20_000) -> DataFrame:
-    """The rows of a small table (one for each file, say) dealt to as many tasks, up to ``most``; small as they are, adaptive execution would put them into one."""
-    return df.repartition(max(1, min(most, df.count())))
+def one_task_each(df: DataFrame, together: int = 1) -> DataFrame:
+    """The rows of a small table (one for each file, say) dealt by turns to tasks of ``together`` rows; small as they are, adaptive execution would put them into one."""
+    return df.repartition(max(1, -(-df.count() // together)))
 
 
 _KEPT: dict = {}

@@ -3,11 +3,14 @@
 Every different vector is a node of one shard's graph. A shard's graph is built in batches: a greedy beam search for each
 node of the batch proposes what it visited as neighbours, and robust pruning (Subramanya and others, "DiskANN", 2019)
 keeps a neighbour only if none kept before it is nearer to it by the factor ``alpha``, so that edges stay diverse. Edges
-are added in the other direction too, and lists that overflow are pruned again. Blocks of queries then beam-search every
-shard, all queries of a block in step. Distances in graphs are single precision; what is found is scored in double
-precision on the original vectors.
+are added in the other direction too, and lists that overflow are pruned again. Queries, in blocks, are a table in the
+shared folder; a task holds a few shards, streams the blocks past them, all queries of a block in step, and hands on each
+query's best. So neither shards nor queries are shuffled for the search. Distances in graphs are single precision, between
+vectors that were brought to unit length in double precision; every node of a beam is then scored in double precision on
+the original vectors.
 
 Rows with equal vectors are one node, which carries the smallest k + 1 ids: no larger one can be among the k nearest.
+Vectors of different length have no cosine: shards hold vectors of one length, and queries search those of their own.
 """
 
 from __future__ import annotations
@@ -19,14 +22,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import one_task_each, written
+from ._shared import file_system, one_task_each, shared_path, written
 
-#: Nodes of a shard, about; of a block of queries, at most.
-SHARD, QUERIES = 4096, 512
+#: Nodes of a shard, about; of a block of queries, at most; shards that a task searches together.
+SHARD, QUERIES, TOGETHER = 4096, 512, 8
 DEGREE, SLACK, BUILD_BEAM, BEAM, ALPHA = 40, 56, 96, 128, 1.2
 SALTS = 16
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Vectors times a power of two each, so that the largest component is between a half and one: cosines stay as they are, and no square over- or underflows."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, initial=0))[1][:, None])
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    """Unit vectors, found in double precision, as float32."""
+    x = scaled(x)
+    return np.ascontiguousarray(x / np.sqrt((x**2).sum(axis=1, keepdims=True)), dtype=np.float32)
+
+
 class Graph:
     """Unit vectors (float32), neighbours by row (padded with -1) and the row at which searches enter."""
 
@@ -35,15 +49,13 @@ class Graph:
 
     @classmethod
     def build(cls, vectors: np.ndarray, degree: int = DEGREE, slack: int = SLACK, beam: int = BUILD_BEAM, alpha: float = ALPHA, batch: int = 256, seed: int = 5) -> Graph:
-        n = len(vectors)
-        unit = np.ascontiguousarray(vectors, dtype=np.float32)
-        unit = unit / np.linalg.norm(unit, axis=1, keepdims=True)
+        n, x = len(vectors), unit(vectors)
         draw = np.random.default_rng(seed)
         edges = np.full((n, slack), -1, np.int32)
         if n > 1:
             first = min(degree // 2, n - 1)
             edges[:, :first] = (np.arange(n)[:, None] + draw.integers(1, n, (n, first))) % n
-        graph = cls(unit, edges, int((unit @ unit.mean(axis=0)).argmax()) if n else 0)
+        graph = cls(x, edges, int((x @ x.mean(axis=0)).argmax()) if n else 0)
         order = draw.permutation(n)
         for at in range(0, n, batch):
             graph._insert(order[at : at + batch], degree, beam, alpha)
@@ -146,99 +158,135 @@ def nodes(rows: DataFrame, k: int) -> DataFrame:
 
 
 def build_index(rows: DataFrame, k: int = 5, *, shard: int = SHARD) -> DataFrame:
-    """The index, a table in the shared folder with one row per shard: shard, entry, ids and the ends of each node's, vectors (double), edges.
+    """The index, a table in the shared folder with one row per shard: n, dim, entry, ids and the ends of each node's, vectors (double), edges.
 
-    rows: vec_id, v. All vectors must have one length. Every row is in the index, through its vector's node.
+    rows: vec_id, v. A shard holds vectors of one length. Every row is in the index, through its vector's node.
     """
     every = written(nodes(rows, k), "ann-nodes")
     n = max(1, -(-every.count() // shard))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, ids = [], []
+        held: dict[int, tuple[list, list]] = {}  # by the vectors' length
 
-        def close() -> pa.RecordBatch:
-            x = np.array(v)
+        def close(v: list, ids: list) -> pa.RecordBatch:
+            x = np.array(v, dtype=float)
             g = Graph.build(x)
             ends = np.cumsum([0, *map(len, ids)]).astype(np.int64)
             flat = np.array([i for some in ids for i in some], np.int64)
             values = [flat.tobytes(), ends.tobytes(), x.tobytes(), g.edges.tobytes()]
-            return pa.RecordBatch.from_arrays([pa.array([len(x)]), pa.array([g.entry]), *(pa.array([b], pa.binary()) for b in values)], ["n", "entry", "ids", "ends", "vectors", "edges"])
+            return pa.RecordBatch.from_arrays([pa.array([len(x)]), pa.array([x.shape[1]]), pa.array([g.entry]), *(pa.array([b], pa.binary()) for b in values)], ["n", "dim", "entry", "ids", "ends", "vectors", "edges"])
 
         for b in batches:
-            v += b.column("v").to_pylist()
-            ids += b.column("ids").to_pylist()
-            while len(v) >= 2 * shard:
-                rest = v[shard:], ids[shard:]
-                del v[shard:], ids[shard:]
-                yield close()
-                v, ids = rest
-        if v:
-            yield close()
+            for v, ids in zip(b.column("v").to_pylist(), b.column("ids").to_pylist(), strict=True):
+                vs, iss = held.setdefault(len(v), ([], []))
+                vs.append(v)
+                iss.append(ids)
+                if len(vs) >= 2 * shard:
+                    held[len(v)] = vs[shard:], iss[shard:]
+                    yield close(vs[:shard], iss[:shard])
+        for vs, iss in held.values():
+            if vs:
+                yield close(vs, iss)
 
     dealt = every.repartition(n)  # evenly, by turns: a shard's size is a property of the index and not of the session's partitions
-    return written(dealt.mapInArrow(run, "n long, entry long, ids binary, ends binary, vectors binary, edges binary"), "ann-index").withColumn("shard", F.monotonically_increasing_id())
+    return written(dealt.mapInArrow(run, "n long, dim long, entry long, ids binary, ends binary, vectors binary, edges binary"), "ann-index")
 
 
-def _blocks(rows: DataFrame, size: int) -> DataFrame:
-    """Queries in blocks of up to ``size``: block, ids, vectors."""
+def _blocks(rows: DataFrame, size: int) -> str:
+    """Where the queries are, in blocks of up to ``size`` of one length: a folder of Parquet files with dim, q_ids, q_vectors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, size):
-                part = b.slice(at, size)
-                ids, x = np.array(part.column("vec_id").to_pylist(), np.int64), np.array(part.column("v").to_pylist())
-                yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())], ["q_ids", "q_vectors"])
-
-    n = max(1, -(-rows.count() // size))
-    return written(rows.repartition(n).mapInArrow(run, "q_ids binary, q_vectors binary"), "ann-queries")
-
-
-def _search(pair: dict, k: int, beam: int) -> pa.RecordBatch:
-    """query_id, vec_id, score of what a block's queries find in a shard: k other ids for each, if there are so many."""
-    n, ids, ends = pair["n"], np.frombuffer(pair["ids"], np.int64), np.frombuffer(pair["ends"], np.int64)
-    x = np.frombuffer(pair["vectors"]).reshape(n, -1)
-    unit = x.astype(np.float32)
-    graph = Graph(unit / np.linalg.norm(unit, axis=1, keepdims=True), np.frombuffer(pair["edges"], np.int32).reshape(n, -1), pair["entry"])
-    q_ids, q = np.frombuffer(pair["q_ids"], np.int64), np.frombuffer(pair["q_vectors"]).reshape(-1, x.shape[1])
-    q32 = q.astype(np.float32)
-    rows, _ = graph.search(q32 / np.linalg.norm(q32, axis=1, keepdims=True), beam)
-    rows = rows[:, : 2 * k + 6]
-    query, row = np.nonzero(rows >= 0)[0], rows[rows >= 0]
-    score = (x[row] * q[query]).sum(axis=1) / (np.sqrt((x[row] ** 2).sum(axis=1)) * np.sqrt((q[query] ** 2).sum(axis=1)))
-    count = np.diff(ends)[row]
-    query, score = np.repeat(query, count), np.repeat(score, count)
-    vec = ids[np.repeat(ends[row], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
-    other = q_ids[query] != vec
-    query, vec, score = query[other], vec[other], score[other]
+            lengths = np.array([len(v) for v in b.column("v").to_pylist()])
+            for dim in np.unique(lengths):
+                some = b.take(pa.array(np.flatnonzero(lengths == dim)))
+                for at in range(0, some.num_rows, size):
+                    part = some.slice(at, size)
+                    ids, x = np.array(part.column("vec_id").to_pylist(), np.int64), np.array(part.column("v").to_pylist(), dtype=float)
+                    yield pa.RecordBatch.from_arrays([pa.array([int(dim)]), pa.array([ids.tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())], ["dim", "q_ids", "q_vectors"])
+
+    n, path = max(1, -(-rows.count() // size)), shared_path(rows.sparkSession, "ann-queries")
+    rows.repartition(n).mapInArrow(run, "dim long, q_ids binary, q_vectors binary").write.parquet(path)
+    return path
+
+
+def _read_blocks(path: str) -> Iterator[dict]:
+    """The blocks of the folder, one at a time, from any store."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    files, at = file_system(path)
+    for info in sorted(files.get_file_info(fs.FileSelector(at)), key=lambda f: f.path):
+        if info.path.endswith(".parquet"):
+            with files.open_input_file(info.path) as f:
+                for b in pq.ParquetFile(f).iter_batches(batch_size=1):
+                    yield b.to_pylist()[0]
+
+
+class Shard:
+    def __init__(self, row: dict):
+        self.dim, self.ids, self.ends = row["dim"], np.frombuffer(row["ids"], np.int64), np.frombuffer(row["ends"], np.int64)
+        self.x = scaled(np.frombuffer(row["vectors"]).reshape(row["n"], -1))
+        self.norm = np.sqrt((self.x**2).sum(axis=1))
+        self.graph = Graph(unit(self.x), np.frombuffer(row["edges"], np.int32).reshape(row["n"], -1), row["entry"])
+
+    def search(self, q_ids: np.ndarray, q: np.ndarray, k: int, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place of the query, vec_id, score): the k best other ids of each query, or all there are."""
+        rows, _ = self.graph.search(unit(q), beam)
+        q = scaled(q)
+        score = np.full(rows.shape, -np.inf)
+        for at in range(0, len(q), 64):
+            x = self.x[rows[at : at + 64]]
+            dots = (x * q[at : at + 64, None]).sum(axis=2)
+            score[at : at + 64] = dots / (self.norm[rows[at : at + 64]] * np.sqrt((q[at : at + 64] ** 2).sum(axis=1))[:, None])
+        query, column = np.nonzero(rows >= 0)
+        row, score = rows[query, column], score[query, column]
+        count = np.diff(self.ends)[row]
+        query, score = np.repeat(query, count), np.repeat(score, count)
+        vec = self.ids[np.repeat(self.ends[row], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
+        other = q_ids[query] != vec
+        return _best(query[other], vec[other], score[other], k)
+
+
+def _best(query: np.ndarray, vec: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     order = np.lexsort((vec, -score, query))
     query, vec, score = query[order], vec[order], score[order]
-    place = np.arange(len(query)) - np.searchsorted(query, query)
-    top = place < k
-    return pa.RecordBatch.from_arrays([pa.array(q_ids[query[top]]), pa.array(vec[top]), pa.array(score[top])], ["query_id", "vec_id", "score"])
+    top = np.arange(len(query)) - np.searchsorted(query, query) < k
+    return query[top], vec[top], score[top]
 
 
 def nearest(df: DataFrame, *, k: int = 5, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding", shard: int = SHARD, beam: int = BEAM) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for each row whose id is divisible by ``every``, among all rows but itself.
 
     score is the cosine in double precision of the original vectors; ties go to the smaller id. Rows whose vector is null,
-    empty, zero, or holds null or non-finite components take no part; with fewer than k others all of them are returned.
-    Ids that repeat are one row if their vectors agree.
+    empty, zero, or holds null or non-finite components take no part; vectors are compared with those of their own length;
+    with fewer than k others all of them are returned. Ids that repeat are one row if their vectors agree; else the nearest
+    of an id's vectors counts.
     """
     rows = usable(df, id_col, vector_col)
     index = build_index(rows, k, shard=shard)
-    blocks = _blocks(rows.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "v"]), QUERIES)
-    # the fixed query set against all rows, in blocks: each pair of a block and a shard is a row of a few MB
-    n_blocks = blocks.count()
-    spots = index.withColumn("spot", F.explode(F.sequence(F.lit(0), F.lit(max(0, n_blocks - 1)))))
-    numbered = blocks.withColumn("spot", F.row_number().over(Window.orderBy(F.xxhash64("q_ids"))) - 1)  # one row for each block
-    pairs = one_task_each(spots.join(numbered, "spot"))
+    path = _blocks(rows.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "v"]), QUERIES)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(b.num_rows):
-                yield _search({c: b.column(c)[at].as_py() for c in b.schema.names}, k, beam)
+    def search(shards: list[Shard]) -> Iterator[pa.RecordBatch]:
+        for block in _read_blocks(path):
+            q_ids, q = np.frombuffer(block["q_ids"], np.int64), np.frombuffer(block["q_vectors"]).reshape(-1, block["dim"])
+            found = [s.search(q_ids, q, k, max(beam, k + 1)) for s in shards if s.dim == block["dim"]]
+            if found:
+                query, vec, score = _best(*map(np.concatenate, zip(*found, strict=True)), k)
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids[query]), pa.array(vec), pa.array(score)], ["query_id", "vec_id", "score"])
 
-    found = pairs.mapInArrow(run, "query_id long, vec_id long, score double")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shards: list[Shard] = []
+        for b, at in ((b, at) for b in batches for at in range(b.num_rows)):
+            shards.append(Shard({c: b.column(c)[at].as_py() for c in b.schema.names}))
+            if len(shards) == TOGETHER:
+                yield from search(shards)
+                shards = []
+        if shards:
+            yield from search(shards)
+
+    # one row of a few MB for each shard, dealt by turns, about TOGETHER to a task
+    found = one_task_each(index, together=TOGETHER).mapInArrow(run, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    found = found.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return found.select("query_id", "rank", "vec_id", "score")

@@ -412,5 +412,22 @@ def test_nearest(spark):
     assert hits / total >= 0.95
     assert sorted(f[1] for f in got[50]) == [200, 201, 202, 203, 204]
     few = spark.createDataFrame(rows[:3], schema)
+    # scale, mixed lengths, and ties finer than single precision, against brute force
+    base = draw.normal(size=(60, 4))
+    tight = [1.0, 2.0, 3.0, 4.0] + draw.normal(size=(60, 4)) * 1e-9
+    sets = [base * 1e60, base * 1e-60, base * 1e-310, base * 1e300, np.concatenate([base, base], axis=1), tight]
+    rows = [(1000 * s + k, v.tolist()) for s, x in enumerate(sets) for k, v in enumerate(x)]
+    got = {}
+    for r in nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), shard=500).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = r.vec_id
+    by_length = {4: [r for r in rows if len(r[1]) == 4], 8: [r for r in rows if len(r[1]) == 8]}
+    assert sorted(got) == [i for i, _ in rows if i % 50 == 0] and all(sorted(g) == [1, 2, 3, 4, 5] for g in got.values())
+    for q, v in rows:
+        if q % 50 or 2000 <= q < 3000:  # denormal numbers have few digits
+            continue
+        scale = lambda x: np.array(x) / np.abs(x).max()
+        cosine = {i: float(scale(v) @ scale(w) / (np.linalg.norm(scale(v)) * np.linalg.norm(scale(w)))) for i, w in by_length[len(v)] if i != q}
+        least = sorted(cosine.values())[-5]
+        assert all(cosine[i] >= least - 4e-16 for i in got[q].values())
     assert sorted((r.query_id, r.vec_id) for r in nearest(few).collect()) == [(0, 1), (0, 2)]
     assert nearest(spark.createDataFrame([], schema)).count() == 0
