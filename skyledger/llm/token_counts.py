@@ -4,6 +4,13 @@ Texts are cut into pre-tokens that no piece of the model can span. The pre-token
 one ragged numpy array of symbols. In each round every pre-token finds the lowest rank among its adjacent pairs, and all
 of them apply their pair at once; those with no pair left are done. What survives is counted: a symbol that is a piece
 counts once, any other as its UTF-8 bytes. Counts by pre-token are kept up to a bound.
+
+A pre-token takes as many rounds as it has merges in a row, so one of over LONG characters is cut into parts of PART,
+which are merged like pre-tokens of their own, all in the same rounds. Neighbouring parts are then joined, level by
+level: the tokens around each join are merged again as one sequence, and this window grows until its first and its last
+token are those that the two sides have there. A pair of neighbours that some encoding holds is one that merging the two
+alone leaves apart (what is merged first within them doesn't depend on what is around them), and a sequence of which
+every pair of neighbours is such is the encoding of its text. So the work is in proportion to the length, and exact.
 """
 
 from __future__ import annotations
@@ -24,6 +31,8 @@ SPACE = "▁"
 KEPT = 12_000_000
 #: Symbols that are merged together (about 100 bytes each while rounds run).
 BLOCK = 400_000
+#: Characters of a pre-token that is merged in parts, at least, and of a part; tokens on either side of a join that are merged again at first.
+LONG, PART, WINDOW = 192, 64, 6
 
 
 class PieceCounter:
@@ -83,14 +92,17 @@ class PieceCounter:
             self.seen, self.held = {}, 0
         new = list({w for ws in cut for w in ws} - self.seen.keys())
         self.held += sum(map(len, new))
-        start = size = 0
-        for k, w in enumerate(new):
-            size += len(w)
-            if size >= BLOCK or k + 1 == len(new):
-                self.seen.update(zip(new[start : k + 1], self._merged(new[start : k + 1]).tolist(), strict=True))
-                start, size = k + 1, 0
+        for some in _blocks([w for w in new if len(w) < LONG]):
+            self.seen.update(zip(some, self._merged(some).tolist(), strict=True))
+        long = [w for w in new if len(w) >= LONG]
+        for some in _blocks(long):
+            self.seen.update(zip(some, self._joined(some).tolist(), strict=True))
         of = self.seen.__getitem__
-        return [sum(map(of, ws)) for ws in cut]
+        counts = [sum(map(of, ws)) for ws in cut]
+        for w in long:  # counted once, not kept: they hardly come again
+            self.held -= len(w)
+            del self.seen[w]
+        return counts
 
     def _cut(self, text: str) -> list[str]:
         if not text:
@@ -99,37 +111,96 @@ class PieceCounter:
         return self.split.findall(text) if self.split else [text]
 
     def _merged(self, words: list[str]) -> np.ndarray:
-        lengths = np.array([len(w) for w in words])
-        if not len(words):
-            return lengths
-        get = self.symbol.get
-        joined = "".join(words)
-        codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        """Tokens of each word."""
+        lengths = np.array([len(w) for w in words], dtype=np.int64)
+        sym, single = self._symbols(words)
+        at, worth = self._survivors(sym, single, lengths)
+        return np.bincount(np.repeat(np.arange(len(words)), lengths)[at], weights=worth, minlength=len(words)).astype(np.int64)
+
+    def _symbols(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The symbol of each character of the words, and its tokens if it stays alone."""
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         distinct, inverse = np.unique(codes, return_inverse=True)
         chars = [chr(c) for c in distinct]
-        sym = np.array([get(c, 0) for c in chars], dtype=np.int32)[inverse]
-        worth = np.array([1 if c in self.single else self.utf8(c) for c in chars], dtype=np.int64)[inverse]
-        seq = np.repeat(np.arange(len(words)), lengths)
-        total = np.zeros(len(words), dtype=np.int64)
+        sym = np.array([self.symbol.get(c, 0) for c in chars], dtype=np.int32)[inverse]
+        return sym, np.array([1 if c in self.single else self.utf8(c) for c in chars], dtype=np.int32)[inverse]
+
+    def _survivors(self, sym: np.ndarray, worth: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What merging leaves of sequences of symbols that stand end to end: where each token begins, and how many tokens it counts; in no order."""
+        n = len(lengths)
+        seq, at = np.repeat(np.arange(n), lengths), np.arange(len(sym))
+        done: list[tuple[np.ndarray, np.ndarray]] = [(at[:0], worth[:0])]
         while len(sym):
             rank, made = self._pairs(sym, seq)
-            best = np.full(len(words), np.iinfo(np.int32).max, dtype=np.int32)
+            best = np.full(n, np.iinfo(np.int32).max, dtype=np.int32)
             start = np.flatnonzero(np.r_[True, seq[1:] != seq[:-1]])
             best[seq[start]] = np.minimum.reduceat(rank, start)
             open_ = best[seq] != np.iinfo(np.int32).max
             if not open_.all():  # these have no pair left: what survives is counted
-                total += np.bincount(seq[~open_], weights=worth[~open_], minlength=len(words)).astype(np.int64)
-                sym, seq, worth, rank, made = sym[open_], seq[open_], worth[open_], rank[open_], made[open_]
+                done.append((at[~open_], worth[~open_]))
+                sym, seq, at, worth, rank, made = sym[open_], seq[open_], at[open_], worth[open_], rank[open_], made[open_]
                 if not len(sym):
                     break
             hit = np.flatnonzero(rank == best[seq])
             hit = hit[self._apart(hit, seq[hit], best)]
+            sym, worth = sym.copy(), worth.copy()
             sym[hit] = made[hit]
             worth[hit] = self.weight[made[hit]]
             keep = np.ones(len(sym), dtype=bool)
             keep[hit + 1] = False
-            sym, seq, worth = sym[keep], seq[keep], worth[keep]
-        return total
+            sym, seq, at, worth = sym[keep], seq[keep], at[keep], worth[keep]
+        return tuple(map(np.concatenate, zip(*done, strict=True)))
+
+    def _joined(self, words: list[str]) -> np.ndarray:
+        """Tokens of each word, in parts that are joined."""
+        lengths = np.array([len(w) for w in words], dtype=np.int64)
+        ends = np.cumsum(lengths)
+        sym, single = self._symbols(words)
+        worth = np.zeros(len(sym) + 1, dtype=np.int32)  # of the token that begins here; 0: none does
+        worth[-1] = 1
+        parts = [np.arange(a, z, PART) for a, z in zip(ends - lengths, ends, strict=True)]
+        edges = np.concatenate(parts)
+        self._again(sym, single, worth, edges, np.r_[edges[1:], len(sym)])
+        place, word = np.concatenate([np.arange(len(p)) for p in parts]), np.repeat(np.arange(len(words)), [len(p) for p in parts])
+        step = 1
+        while step <= place.max():
+            joins = np.flatnonzero(place % (2 * step) == step)
+            low = edges[joins] - step * PART
+            self._join(sym, single, worth, low, edges[joins], np.minimum(edges[joins] + step * PART, ends[word[joins]]))
+            step *= 2
+        return np.add.reduceat(worth[:-1], ends - lengths, dtype=np.int64)
+
+    def _join(self, sym: np.ndarray, single: np.ndarray, worth: np.ndarray, low: np.ndarray, middle: np.ndarray, high: np.ndarray) -> None:
+        """Joins what stands in [low, middle) with what stands in [middle, high), for many places at once."""
+        left = right = np.full(len(middle), WINDOW)
+        while len(middle):
+            starts = np.flatnonzero(worth)
+            a, b = np.searchsorted(starts, middle) - left, np.searchsorted(starts, middle) + right
+            a, b = np.maximum(a, np.searchsorted(starts, low)), np.minimum(b, np.searchsorted(starts, high))
+            first, last = starts[a], starts[b]
+            again = np.zeros_like(worth)
+            found = self._again(sym, single, again, first, last)
+            # the first token is as before if the next one begins where it did, and the last if it begins where it did
+            second = found[np.minimum(np.searchsorted(found, first) + 1, len(found) - 1)]
+            left_done = (first == low) | (second == starts[a + 1])
+            right_done = (last == high) | (found[np.searchsorted(found, last) - 1] == starts[b - 1])
+            done = left_done & right_done
+            for x, y in zip(first[done].tolist(), last[done].tolist(), strict=True):
+                worth[x:y] = again[x:y]
+            left, right = np.where(left_done, left, left * 2)[~done], np.where(right_done, right, right * 2)[~done]
+            low, middle, high = low[~done], middle[~done], high[~done]
+
+    def _again(self, sym: np.ndarray, single: np.ndarray, worth: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Merges each [first, last) on its own, notes the tokens in worth and returns where they begin, in order."""
+        out = []
+        sizes = last - first
+        for some in np.split(np.arange(len(first)), np.flatnonzero(np.diff(np.cumsum(sizes) // BLOCK)) + 1):
+            n = sizes[some]
+            index = np.repeat(first[some] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            at, found = self._survivors(sym[index], single[index], n)
+            worth[index[at]] = found
+            out.append(np.sort(index[at]))
+        return np.concatenate(out)
 
     def _pairs(self, sym: np.ndarray, seq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         rank = np.full(len(sym), np.iinfo(np.int32).max, dtype=np.int32)
@@ -149,6 +220,16 @@ class PieceCounter:
         return np.where(self.safe[best[seq]], place % 2 == 0, first)
 
 
+def _blocks(words: list[str]) -> Iterator[list[str]]:
+    """The words in blocks of about BLOCK characters."""
+    start = size = 0
+    for k, w in enumerate(words):
+        size += len(w)
+        if size >= BLOCK or k + 1 == len(words):
+            yield words[start : k + 1]
+            start, size = k + 1, 0
+
+
 def counter(path: str, most: int = KEPT) -> PieceCounter:
     return kept(("pieces", path, most), lambda: PieceCounter(path, most))
 

@@ -85,6 +85,24 @@ def test_token_counts(docs, none):
     assert token_counts(none, path).count() == 0
 
 
+def test_long_words_are_counted_in_parts():
+    import time
+
+    import sentencepiece
+
+    from skyledger.llm.token_counts import PieceCounter
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library, counter, draw = sentencepiece.SentencePieceProcessor(model_file=path), PieceCounter(path), random.Random(11)
+    letters = ("abcdefghijklmnopqrstuvwxyz", "theinr", "ab", "a", "é漢字かな", "ACGT", "in", "()[]{};=", "aeiou st")
+    texts = ["".join(draw.choice(letters[k % 9]) for _ in range(draw.choice((191, 192, 193, 257, 900)))) for k in range(180)]
+    assert counter.count(texts) == [len(library.encode(t)) for t in texts]
+    text = "".join(draw.choice(letters[0]) for _ in range(1_000_000))
+    began = time.time()
+    assert counter.count([text]) == [len(library.encode(text))]
+    assert time.time() - began < 30  # some seconds; with rounds over the whole word it would be hours
+
+
 def test_mixing(docs, none):
     from skyledger.llm.mixing import Mix, mixed_rows
 
