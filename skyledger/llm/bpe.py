@@ -1,18 +1,24 @@
-"""Byte-level BPE encoding and decoding, with tree concatenation for long unsplit text.
+"""Byte-level BPE encoding and decoding by tree concatenation.
+
+A text of over ``leaf`` characters is cut into halves until they are leaves; the leaves of all texts at hand are encoded
+together, by several threads where there are many, and neighbours are joined level by level. Halves are cut before a
+space between two words, where the tokenizer's pattern splits whatever stands around; a stretch without such a place is
+cut where the pattern splits it, and what the pattern leaves whole (a pre-token of over ``leaf`` characters) anywhere.
 
-The tokenizer's own library encodes whole texts. Only a pre-token (a stretch that its pattern doesn't split) of over
-``leaf`` characters takes the tree: it is cut into halves until they are leaves, the leaves are encoded together
-(``encode_batch`` runs them in parallel where the library may use threads), and neighbours are joined level by level.
 At each join a window of tokens on both sides is encoded again, and it grows until its first token is the left side's
 own token there and its last token is the right side's. Then every adjacent pair of tokens in the joined sequence is a
 pair of some valid encoding, which is what makes a sequence *the* BPE encoding of its text; so both sides agree exactly.
+A tokenizer whose pattern or normalizer is another than the byte-level one's encodes texts whole.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +29,10 @@ from ._shared import kept, whole_text
 
 LEAF = 4096
 WINDOW = 8
+#: Threads that encode the leaves of long texts, and characters that a thread takes at a time.
+THREADS, TURN = 4, 1 << 18
+#: Before the space, the pattern " ?letters| ?digits| ?others|spaces" splits whatever stands around: nothing that it matches goes on over a space.
+_SURE = re.compile(r"\w (?=\w)")
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -35,91 +45,132 @@ def byte_alphabet() -> dict[str, int]:
 class TreeCodec:
     """encode() and decode() as the tokenizers library has them for a byte-level BPE file; ids are lists of int."""
 
-    def __init__(self, path: str, leaf: int = LEAF, window: int = WINDOW):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # on a cluster each core already has a task
+    def __init__(self, path: str, leaf: int = LEAF, window: int = WINDOW, threads: int = THREADS):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # threads are this class's own affair
         from tokenizers import Tokenizer
 
         self.library, self.leaf, self.window = Tokenizer.from_file(path), leaf, window
+        self.threads, self.pool = threads, None
         alphabet, size = byte_alphabet(), self.library.get_vocab_size(with_added_tokens=True)
         self.bytes_of = [b""] * size
         for token, k in self.library.get_vocab(with_added_tokens=True).items():
             whole = all(c in alphabet for c in token)
             self.bytes_of[k] = bytes(alphabet[c] for c in token) if whole else token.encode()
         self.special = sorted((t.content for t in self.library.get_added_tokens_decoder().values()), key=len, reverse=True)
+        made = json.loads(self.library.to_str())
+        cut = made["pre_tokenizer"] or {}
+        self.known = made["normalizer"] is None and cut.get("type") == "ByteLevel" and cut.get("use_regex") and not cut.get("add_prefix_space")
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        short = [t for t in texts if not self._unsplit(t)]
-        done = iter(self.library.encode_batch_fast(short, add_special_tokens=False))
-        return [self._long(t) if self._unsplit(t) else next(done).ids for t in texts]
+        return [ids.tolist() for ids in self.arrays(texts)]
+
+    def arrays(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text, as int32."""
+        if not self.known:
+            return self._leaves(texts)
+        # each text is a row of groups that only have to be put end to end; the leaves of a group are joined
+        cut = [[[t]] if len(t) <= self.leaf else self._groups(t) for t in texts]
+        groups = [g for gs in cut for g in gs]
+        leaves = iter(self._leaves([leaf for g in groups for leaf in g]))
+        done = iter(self._joined([[next(leaves) for _ in g] for g in groups]))
+        return [np.concatenate([next(done) for _ in gs]) if len(gs) != 1 else next(done) for gs in cut]
+
+    def _leaves(self, texts: list[str]) -> list[np.ndarray]:
+        turns, size = [[]], 0
+        for t in texts:
+            if turns[-1] and size + len(t) > TURN:
+                turns.append([])
+                size = 0
+            turns[-1].append(t)
+            size += len(t)
+        if len(turns) < 2 or self.threads < 2:
+            found = map(self._turn, turns)
+        else:
+            self.pool = self.pool or ThreadPoolExecutor(self.threads)
+            found = self.pool.map(self._turn, turns)
+        return [ids for some in found for ids in some]
+
+    def _turn(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype=np.int32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def decode(self, ids: list[int]) -> str:
         return self.decode_bytes(ids).decode("utf-8", errors="replace")
 
     def decode_bytes(self, ids: list[int]) -> bytes:
-        table = self.bytes_of
-        return b"".join([table[k] for k in ids])
-
-    def _unsplit(self, text: str) -> bool:
-        """Whether a stretch of 2 * leaf characters or more has no change between white space and the rest: it then fills one of the aligned blocks."""
-        n = self.leaf
-        for at in range(0, len(text) - n + 1, n):
-            block = text[at : at + n]
-            if block.isspace() or len(block.split(None, 1)[0]) == n:
-                return True
-        return False
-
-    def _long(self, text: str) -> list[int]:
-        ids: list[int] = []
-        for piece, special in self._around_special(text):
-            if special:
-                ids.append(self.library.token_to_id(piece))
-                continue
-            start = 0  # of the ordinary text that waits
-            for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(piece):
-                if b - a > self.leaf:
-                    ids += self._flat(piece[start:a]) + self._tree(piece[a:b])
-                    start = b
-            ids += self._flat(piece[start:])
-        return ids
-
-    def _around_special(self, text: str) -> Iterator[tuple[str, bool]]:
-        at = 0
+        return b"".join(map(self.bytes_of.__getitem__, ids))
+
+    def _groups(self, text: str) -> list[list[str]]:
+        """Leaves of a text, special tokens being groups of their own."""
+        at, groups = 0, []
         while True:
             found = [(k, -len(s), s) for s in self.special if (k := text.find(s, at)) >= 0]
-            if not found:
-                break
-            k, _, s = min(found)
+            k, _, special = min(found, default=(len(text), 0, ""))
             if k > at:
-                yield text[at:k], False
-            yield s, True
-            at = k + len(s)
-        if at < len(text):
-            yield text[at:], False
-
-    def _flat(self, text: str) -> list[int]:
-        return self.library.encode(text, add_special_tokens=False).ids if text else []
-
-    def _tree(self, text: str) -> list[int]:
-        parts = [text]
-        while len(parts[0]) > self.leaf:
-            parts = [half for p in parts for half in (p[: (len(p) + 1) // 2], p[(len(p) + 1) // 2 :])]
-        nodes = [e.ids for e in self.library.encode_batch_fast(parts, add_special_tokens=False)]
-        while len(nodes) > 1:
-            nodes = [self._join(nodes[k], nodes[k + 1]) for k in range(0, len(nodes), 2)]
-        return nodes[0]
-
-    def _join(self, left: list[int], right: list[int]) -> list[int]:
-        a = b = self.window
-        while True:
-            a, b = self._whole_character(left, len(left) - a, -1), self._whole_character(right, b, 1)
-            middle = self.library.encode(self.decode_bytes(left[a:] + right[:b]).decode(), add_special_tokens=False).ids
-            left_done = a == 0 or middle[0] == left[a]
-            right_done = b == len(right) or middle[-1] == right[b - 1]
-            if left_done and right_done:
-                return left[:a] + middle + right[b:]
-            a, b = (len(left) - a) * (1 if left_done else 2), b * (1 if right_done else 2)
-
-    def _whole_character(self, ids: list[int], at: int, step: int) -> int:
+                groups += self._halves(text[at:k])
+            if not special:
+                return groups
+            groups.append([special])
+            at = k + len(special)
+
+    def _halves(self, text: str) -> list[list[str]]:
+        """Groups of leaves of ordinary text."""
+        if len(text) <= self.leaf:
+            return [[text]]
+        if not (at := self._sure(text)):
+            return self._unsplit(text)
+        left, right = self._halves(text[:at]), self._halves(text[at:])
+        return [*left[:-1], left[-1] + right[0], *right[1:]]
+
+    def _sure(self, text: str) -> int:
+        """Where to halve a text: a place near its middle at which the pattern splits for sure; 0 if there is none."""
+        middle, n = len(text) // 2, self.leaf
+        if (m := _SURE.search(text, middle, middle + n)) or (m := _last(text, max(0, middle - n), middle + 1)):
+            return m.start() + 1
+        m = _SURE.search(text, middle) or _last(text, 0, middle)
+        return m.start() + 1 if m else 0
+
+    def _unsplit(self, text: str) -> list[list[str]]:
+        """Groups of a stretch without a sure place: what the pattern leaves whole is halved anywhere."""
+        groups, start = [], 0
+        for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(text):
+            if b - a > self.leaf:
+                groups += [[text[start:a]]] if a > start else []
+                parts = [text[a:b]]
+                while len(parts[0]) > self.leaf:
+                    parts = [half for p in parts for half in (p[: (len(p) + 1) // 2], p[(len(p) + 1) // 2 :])]
+                groups.append(parts)
+                start = b
+        return groups + ([[text[start:]]] if start < len(text) else [])
+
+    def _joined(self, groups: list[list[np.ndarray]]) -> list[np.ndarray]:
+        """Each group's leaves as one sequence: neighbours are joined level by level, in all groups together."""
+        while any(len(g) > 1 for g in groups):
+            pairs = iter(self._join([(g[k], g[k + 1]) for g in groups for k in range(0, len(g) - 1, 2)]))
+            groups = [[next(pairs) for _ in range(0, len(g) - 1, 2)] + (g[-1:] if len(g) % 2 else []) for g in groups]
+        return [g[0] for g in groups]
+
+    def _join(self, pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+        out: list = [None] * len(pairs)
+        open_ = [(k, self.window, self.window) for k in range(len(pairs))]
+        while open_:
+            places, texts = [], []
+            for k, a, b in open_:
+                left, right = pairs[k]
+                a, b = self._whole_character(left, len(left) - a, -1), self._whole_character(right, b, 1)
+                places.append((k, a, b))
+                texts.append(self.decode_bytes([*left[a:].tolist(), *right[:b].tolist()]).decode())
+            open_ = []
+            for (k, a, b), middle in zip(places, self._leaves(texts), strict=True):
+                left, right = pairs[k]
+                left_done = a == 0 or middle[0] == left[a]
+                right_done = b == len(right) or middle[-1] == right[b - 1]
+                if left_done and right_done:
+                    out[k] = np.concatenate([left[:a], middle, right[b:]])
+                else:
+                    open_.append((k, (len(left) - a) * (1 if left_done else 2), b * (1 if right_done else 2)))
+        return out
+
+    def _whole_character(self, ids: np.ndarray, at: int, step: int) -> int:
         """The next index at or beyond ``at`` where a token starts with a whole character."""
         at = max(0, min(at, len(ids)))
         while 0 < at < len(ids) and self.bytes_of[ids[at]][0] & 0xC0 == 0x80:
@@ -127,6 +178,14 @@ class TreeCodec:
         return at
 
 
+def _last(text: str, start: int, stop: int) -> re.Match | None:
+    """The last sure place that begins in a part of the text."""
+    found = None
+    for found in _SURE.finditer(text, start, stop + 2):
+        pass
+    return found
+
+
 def codec(path: str, leaf: int = LEAF, window: int = WINDOW) -> TreeCodec:
     return kept(("bpe", path, leaf, window), lambda: TreeCodec(path, leaf, window))
 
@@ -150,7 +209,7 @@ def encode(df: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(tokenizer, leaf, window)
         for part in (p for b in batches for p in slices(b, limit=1 << 20)):
-            ids = c.encode(part.column("body").to_pylist())
+            ids = c.arrays(part.column("body").to_pylist())
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     rows = df.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("body"))
@@ -179,10 +238,10 @@ def round_trip_digests(df: DataFrame, tokenizer: str, *, id_col: str = "doc_id",
         c = codec(tokenizer, leaf, window)
         for part in (p for b in batches for p in slices(b, limit=1 << 20)):
             n, hashes, texts = [], [], []
-            for ids in c.encode(part.column("body").to_pylist()):
+            for ids in c.arrays(part.column("body").to_pylist()):
                 n.append(len(ids))
-                hashes.append(hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest())
-                texts.append(hashlib.sha256(c.decode(ids).encode()).hexdigest())
+                hashes.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
+                texts.append(hashlib.sha256(c.decode(ids.tolist()).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(hashes, pa.string()), pa.array(texts, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = df.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("body"))

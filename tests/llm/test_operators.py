@@ -72,6 +72,31 @@ def test_tree_joins_unsplit_text_exactly():
         assert tree.encode([text]) == [tree.library.encode(text, add_special_tokens=False).ids], text
 
 
+def test_tree_encodes_halves_of_long_texts_in_parallel(monkeypatch):
+    import threading
+
+    from skyledger.llm import bpe
+
+    tree, names = bpe.TreeCodec(public_tokenizers.path("byte_bpe_50k.json"), leaf=64), set()
+    whole, turn, join = tree.library, tree._turn, tree._join
+    joins = []
+    monkeypatch.setattr(bpe, "TURN", 2000)
+    monkeypatch.setattr(tree, "_turn", lambda texts: names.add(threading.current_thread().name) or turn(texts))
+    monkeypatch.setattr(tree, "_join", lambda pairs: joins.append(len(pairs)) or join(pairs))
+    draw = random.Random(8)
+    words = ["don't", "we'll", "über", "漢字", "x1", "<|endoftext|>", "a\tb", "  ", "!?", "the", "of"]
+    texts = [" ".join(draw.choice(words) for _ in range(6000)), "".join(draw.choice("abc \n'") for _ in range(9000)), "short", ""]
+    assert tree.encode(texts) == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(names) > 1 and sum(joins) > 300
+
+
+def test_another_tokenizer_encodes_texts_whole():
+    from skyledger.llm.bpe import TreeCodec
+
+    tree = TreeCodec(public_tokenizers.path("word_bpe_49k.json"), leaf=8)
+    assert tree.encode(["Two Words and More"]) == [tree.library.encode("Two Words and More", add_special_tokens=False).ids]
+
+
 def test_token_counts(docs, none):
     import sentencepiece
 
