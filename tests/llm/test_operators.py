@@ -351,40 +351,53 @@ def test_licences(spark, none):
     assert scan(none).count() == 0
 
 
-def test_wavelet_matrix():
-    from skyledger.llm.token_shards import WaveletMatrix
+def test_wavelet_matrix(tmp_path):
+    from skyledger.llm.token_shards import Shard, WaveletMatrix
 
     draw = np.random.default_rng(2)
-    for n in (0, 1, 511, 512, 513, 5000):
+    for n in (0, 1, 511, 512, 513, 5000, 600_000):
         ids = draw.integers(0, 40 if n % 2 else 49408, n)
-        m = WaveletMatrix.build(ids, 16)
-        assert (m.sequence() == ids).all()
+        built = WaveletMatrix.build(ids, 16)
+        Shard([1], np.array([n]), built).write(str(tmp_path / f"{n}.wm"))
+        stored = Shard.open(str(tmp_path / f"{n}.wm")).matrix
+        assert (built.sequence() == ids).all() and (stored.loaded().sequence() == ids).all()
         if not n:
             continue
+        stored = Shard.open(str(tmp_path / f"{n}.wm")).matrix
         at = draw.integers(0, n, 50)
-        assert (m.access(at) == ids[at]).all()
-        for t in [*ids[:5].tolist(), 7, 49407]:
-            assert (m.select(t) == np.flatnonzero(ids == t)).all()
-            assert m.rank(t, n // 3, n) == (ids[n // 3 :] == t).sum()
+        for m in (built, stored):
+            assert (m.access(at) == ids[at]).all()
+            for t in [*ids[:5].tolist(), 7, 49407]:
+                assert (m.select(t) == np.flatnonzero(ids == t)).all()
+                assert m.rank(t, n // 3, n) == (ids[n // 3 :] == t).sum()
+                assert (m.counts(t, at // 2, at) == [(ids[a // 2 : a] == t).sum() for a in at]).all()
+    few = Shard.open(str(tmp_path / "600000.wm")).matrix
+    assert few.access(np.array([300_000])) == ids[300_000]
+    assert len(few.chunks) == 16 and sum(map(len, few.places)) == 48  # one chunk of three was read for each plane
 
 
 def test_token_shards(docs, none):
     from tokenizers import Tokenizer
 
-    from skyledger.llm.token_shards import Shard, read_shards, write_shards
-
-    path = public_tokenizers.path("word_bpe_49k.json")
-    library = Tokenizer.from_file(path)
-    rows = docs.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    want, start = [], 0
-    for i, t in sorted(_plain(rows)):
-        ids = [*library.encode(t, add_special_tokens=False).ids, 2]
-        want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
-        start += len(ids)
-    manifest = write_shards(rows, path, shard_ids=500, partitions=3)
-    assert _rows(read_shards(manifest)) == sorted(want, key=repr)
+    from skyledger.llm.token_shards import Shard, occurrences, read_shards, write_shards
+
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):  # the second prepares texts in another way
+        path = public_tokenizers.path(name)
+        library = Tokenizer.from_file(path)
+        rows = docs.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+        want, start, of = [], 0, {}
+        for i, t in sorted(_plain(rows)):
+            ids = [*library.encode(t, add_special_tokens=False).ids, 2]
+            want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), 2, ids.count(2)))
+            for k, x in enumerate(ids):
+                of.setdefault(x, []).append((i, start, start + k))
+            start += len(ids)
+        manifest = write_shards(rows, path, shard_ids=500, partitions=3)
+        assert _rows(read_shards(manifest)) == sorted(want, key=repr)
+        for token in (2, max(of, key=lambda x: len(of[x]))):
+            assert _rows(occurrences(manifest, token)) == sorted(of[token], key=repr)
     first = manifest.orderBy("part", "seq").first()
-    assert first.start == 0 and Shard.read(first.path).doc_ids[0] == want[0][0]
+    assert first.start == 0 and Shard.open(first.path).doc_ids[0] == want[0][0]
     assert read_shards(write_shards(docs, path)).count() == docs.count()
     assert read_shards(write_shards(none, path)).count() == 0
 
