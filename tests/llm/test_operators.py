@@ -338,19 +338,6 @@ def test_exact_dedup_tells_texts_of_one_digest_apart(docs, monkeypatch):
     assert sorted(r.doc_id or -1 for r in exact_dedup.deduplicate(docs).collect()) == kept
 
 
-def test_licences(spark, none):
-    from skyledger.llm.licences import OTHERS, SENTENCES, scan
-
-    lines = [(s, f) for f, ss in SENTENCES.items() for s in ss if len(s) > 30] + [("Released under the MIT License.", "mit"), ("LICENSED UNDER THE APACHE LICENSE, VERSION 2.0.", "apache-2.0")]
-    rows = [(k, f"Some prose here.\n{s}\nMore of it.", "en") for k, (s, _) in enumerate(lines)]
-    rows += [(1000 + k, s, "en") for k, s in enumerate(OTHERS)] + [(2000, None, "en"), (2001, "", "en"), (2002, "x" * 300_000, "en"), (None, "Released under the MIT License.", "en")]
-    got = scan(spark.createDataFrame(rows, "doc_id long, text string, line string")).collect()
-    by_id = {r.doc_id: r for r in got}
-    assert len(by_id) == len(got) and all(by_id[k].licence == f and by_id[k].paragraph == 1 and by_id[k].confirmed for k, (_, f) in enumerate(lines))
-    assert by_id[None].licence == "mit" and not any(i is not None and i >= 1000 for i in by_id)
-    assert scan(none).count() == 0
-
-
 def test_wavelet_matrix(tmp_path):
     from skyledger.llm.token_shards import Shard, WaveletMatrix
 
