@@ -17,7 +17,7 @@ from decimal import Decimal, getcontext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import WORD, whole_text, written
+from ._shared import WORD, packed, unpacked, whole_text, written
 
 #: A fixed value: sources in order of their names weigh these, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -43,31 +43,45 @@ def sizes(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     return df.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), words.alias("size"))
 
 
+def _before(rows: DataFrame, order: list[Column], sums: dict[str, str], label: str) -> DataFrame:
+    """rows with the sums of columns (name: column) over all rows before, in an order without ties.
+
+    Rows are dealt by ranges of the order; what meets in one task are the totals of the ranges, one row for each.
+    """
+    dealt = written(rows.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), label)
+    totals = dealt.groupBy("range").agg(*[F.sum(c).alias(f"{n}_all") for n, c in sums.items()])
+    earlier = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(F.col("range").alias("_range"), *[F.coalesce(F.sum(f"{n}_all").over(earlier), F.lit(0)).alias(f"{n}_base") for n in sums])
+    within = Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    dealt = dealt.withColumns({f"{n}_in": F.coalesce(F.sum(c).over(within), F.lit(0)) for n, c in sums.items()})
+    joined = dealt.join(F.broadcast(totals), F.col("range") == F.col("_range"))  # as many rows as there are shuffle partitions, at most
+    return joined.withColumns({n: F.col(f"{n}_base") + F.col(f"{n}_in") for n in sums}).select(*rows.columns, *sums)
+
+
 def targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
     """One row per source: src (its place by name, null last), source, docs, source_size, target, lo and hi (its interval of shares).
 
     Targets share ``share`` times all words by weight, but stop at ``cap`` times the source's size; what is over goes to the
     others by weight until none is above. In closed form: target = min(cap * size, level * weight), the level being the
-    first in order of cap * size / weight at which the sources from there on can take what those before leave.
+    first in order of cap * size / weight at which the sources from there on can take what those before leave. There may be
+    any number of sources: only sums over all of them come to the driver.
     """
-    every = Window.partitionBy()
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    found = sized.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.sum("size").alias("source_size"))
-    found = found.withColumn("src", F.row_number().over(by_name) - 1)
-    found = found.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), F.col("src") % len(weights) + 1))
+    one = F.lit(1).cast("long")
+    found = sized.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.sum("size").alias("source_size"), F.max(one).alias("one"))
+    found = _before(found, [F.col("source").asc_nulls_last()], {"src": "one"}, "mix-by-name").drop("one")
+    found = found.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("src") % len(weights) + 1).cast("int")))
     found = found.withColumn("most", cap * F.col("source_size").cast("double")).withColumn("ratio", F.col("most") / F.col("weight"))
-    rising = Window.orderBy("ratio", "src")
-    before = rising.rowsBetween(Window.unboundedPreceding, -1)
-    left = share * F.sum(F.col("source_size").cast("double")).over(every) - F.coalesce(F.sum("most").over(before), F.lit(0.0))
-    still = F.sum("weight").over(rising.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    found = found.withColumn("level", left / still)
-    found = found.withColumn("level", F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "src", "level"))).over(every)["level"])
-    found = found.withColumn("target", F.when(F.col("level").isNull(), F.col("most")).otherwise(F.least("most", F.col("level") * F.col("weight"))))
-    up_to = F.sum("target").over(Window.orderBy("src").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    total = F.sum("target").over(every)
-    found = found.withColumn("hi", F.when(total > 0, up_to / total).otherwise(0.0))
-    found = found.withColumn("lo", F.lag("hi", 1, 0.0).over(Window.orderBy("src")))
-    return found.select("src", "source", "docs", "source_size", "target", "lo", "hi")
+    found = _before(found, [F.col("ratio"), F.col("src")], {"most_before": "most", "weight_before": "weight"}, "mix-by-ratio")
+    words, every = found.agg(F.sum(F.col("source_size").cast("double")), F.sum("weight")).first()
+    found = found.withColumn("level", (share * (words or 0.0) - F.col("most_before")) / ((every or 0.0) - F.col("weight_before")))
+    first = found.filter("level <= ratio").agg(F.min(F.struct("ratio", "src", "level")).alias("first")).first()["first"]
+    reached = F.col("most") if first is None else F.least("most", F.lit(first["level"]) * F.col("weight"))
+    # shares are summed in whole 1024ths of a word, so that one interval ends exactly where the next begins
+    found = found.withColumn("target", reached).withColumn("units", F.rint(F.col("target") * 1024).cast("long"))
+    found = _before(found.select("src", "source", "docs", "source_size", "target", "units"), [F.col("src")], {"before": "units"}, "mix-by-place")
+    total = found.agg(F.sum("units")).first()[0] or 0
+    part = lambda x: x / F.lit(float(total)) if total else F.lit(0.0)
+    return found.select("src", "source", "docs", "source_size", "target", part(F.col("before")).alias("lo"), part(F.col("before") + F.col("units")).alias("hi"))
 
 
 def _running(rows: DataFrame, group: str, bucket: str, order: list[str | Column], value: str, name: str) -> DataFrame:
@@ -136,11 +150,11 @@ class Mix:
 
 
 def mixed_rows(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The rows of df as often as the mix takes them, with all their columns: as many whole copies as the words taken come nearest to."""
+    """The rows of df as often as the mix takes them, with all their columns: as many whole copies as the words taken come nearest to. Columns of df may have any names."""
     mix = Mix(df, id_col=id_col, text_col=text_col, source_col=source_col, **options)
     copies = mix.taken().groupBy("doc_id", "size").agg((F.sum("taken") / F.count(F.lit(1)) / F.greatest(F.col("size"), F.lit(1))).alias("_copies"))
     copies = copies.select(F.col("doc_id").alias("_id"), F.col("size").alias("_words"), F.floor(F.col("_copies") + 0.5).cast("int").alias("_copies")).filter("_copies > 0")
     words = F.regexp_count(whole_text(text_col), F.lit(WORD)).cast("long")
-    rows = df.withColumn("_size", words)
-    rows = rows.join(copies, rows[id_col].eqNullSafe(F.col("_id")) & (F.col("_size") == F.col("_words")))
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*[rows[c] for c in df.columns])
+    rows = df.select(packed(df).alias("row"), F.col(id_col).alias("id"), words.alias("words"))
+    rows = rows.join(copies, F.col("id").eqNullSafe(F.col("_id")) & (F.col("words") == F.col("_words")))
+    return unpacked(rows.select("row", F.explode(F.sequence(F.lit(1), "_copies"))), df)
