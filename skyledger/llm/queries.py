@@ -36,10 +36,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .warc import read_archives, write_archives
+    from .warc import read_archives, resolved, write_archives
 
     index = write_archives(_table(spark, sf_dir, "pages"))
-    return read_archives(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return resolved(read_archives(index)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 OP4_SQL = """

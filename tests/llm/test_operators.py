@@ -203,15 +203,21 @@ PAGES = "page_id long, url string, html string, first long, path string, payload
 
 
 def test_warc(spark):
-    from skyledger.llm.warc import DICTIONARY_MAGIC, read_archives, read_record, write_archives
+    from skyledger.llm.warc import DICTIONARY_MAGIC, read_archives, read_record, resolved, write_archives
 
     same, small = "<p>same</p>" * 20, "tiny"
     rows = [(k, f"http://x.example/{k}\r\nüber", f"<html>{k}</html>" * (1 + k % 40), 5, "p", "q") for k in range(60)]
     rows += [(100, "u", same, 0, "", ""), (90, None, same, 0, "", ""), (95, "u", same, 0, "", ""), (70, "u", small, 0, "", ""), (71, "u", small, 0, "", ""), (72, "u", None, 0, "", ""), (73, "u", "", 0, "", ""), (None, "u", same, 0, "", ""), (None, "u", "x" * 200, 0, "", ""), (99, "u", "y" * 2_000_000, 0, "", "")]
     pages = spark.createDataFrame(rows, PAGES).repartition(3)
     index = write_archives(pages, archive_bytes=40_000)
-    got = {(r.page_id, r.payload_digest): r for r in read_archives(index).collect()}
-    assert len(got) == len(rows)
+    records = read_archives(index)
+    got = {(r.page_id, r.payload_digest): r for r in records.collect()}
+    assert len(got) == len(rows) == len({r.record_id for r in got.values()})
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    assert _rows(resolved(records).select(columns)) == _rows(records.select(columns))
+    for broken in (records.filter("NOT (page_id <=> 90)"), records.withColumn("payload_bytes", F.expr("payload_bytes + IF(record_type = 'revisit', 1, 0)"))):
+        with pytest.raises(Exception, match="response that isn't there"):
+            resolved(broken).collect()
     for page_id, _, html, *_ in rows:
         body = (html or "").encode()
         r = got[page_id, hashlib.sha256(body).hexdigest()]
@@ -220,7 +226,9 @@ def test_warc(spark):
         assert r.payload == (None if revisit else body)
     one = index.filter("page_id = 7").first()
     head, payload = read_record(one.path, one.offset, one.length)
-    assert payload == rows[7][2].encode() and head["WARC-Type"] == "response" and "%0D%0A" in head["WARC-Target-URI"]
+    assert payload == rows[7][2].encode() and head["WARC-Type"] == "response" and "%0D%0A" in head["WARC-Target-URI"] and head["WARC-Date"] > "2020"
+    other = index.filter("page_id = 100").first()
+    assert read_record(other.path, other.offset, other.length)[0].items() >= {"X-Refers-To-Page-ID": "90", "X-Page-ID": "100"}.items()
     with open(one.path.removeprefix("file:"), "rb") as f:
         assert int.from_bytes(f.read(4), "little") == DICTIONARY_MAGIC
     assert read_archives(write_archives(spark.createDataFrame([], PAGES))).count() == 0
