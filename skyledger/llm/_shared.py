@@ -78,8 +78,9 @@ def atomic_file(path: str):
 
 
 def one_task_each(df: DataFrame, together: int = 1) -> DataFrame:
-    """The rows of a small table (one for each file, say) dealt by turns to tasks of ``together`` rows; small as they are, adaptive execution would put them into one."""
-    return df.repartition(max(1, -(-df.count() // together)))
+    """The rows of a small table (one for each file, say) dealt by turns to tasks of ``together`` rows, or of fewer where cores would be idle; small as they are, adaptive execution would put them into one."""
+    n = df.count()
+    return df.repartition(max(1, -(-n // together), min(n, df.sparkSession.sparkContext.defaultParallelism)))
 
 
 _KEPT: dict = {}
