@@ -22,85 +22,81 @@ class Model:
         return tuple(range(0, 24, self.step))
 
 
-#: Gridded models by name, hours between cycles, first cycle in the archive (- : live only).
-_GRIDDED = """
-hrrr 1 2014-07-30
-hrrrak 3 2018-01-01
-gfs 6 2021-01-01
-gdas 6 2021-01-01
-gefs 6 2017-01-01
-nbm 1 2020-01-01
-rap 1 2020-01-01
-rrfs 1 2024-01-01
-rtma 1 2024-01-01
-urma 1 2024-01-01
-cfs 6 2011-01-01
-ecmwf_ifs_hres 6 2022-01-01
-ecmwf_ifs_ens 6 2022-01-01
-ecmwf_aifs_single 6 2024-02-25T06
-ecmwf_aifs_ens 6 2024-02-25T06
-nam 6 2024-01-01
-hrdps 6 -
-rdps 6 -
-gdps 12 -
-geps 12 -
-reps 6 -
-hafs 6 -
-href 6 -
-hiresw 12 -
-"""
-#: Models of the point-forecast feed by name, hours between cycles, first day, hours to publication.
-_POINT = """
-gfs_seamless 6 2024-01-01 6
-gfs_global 6 2024-01-01 6
-gfs_graphcast025 6 2024-01-01 6
-aigfs025 6 2026-01-07 6
-hgefs025 6 2026-01-07 6
-ncep_hrrr_conus 1 2024-01-01 2
-ncep_nbm_conus 1 2024-10-08 2
-ncep_nam_conus 6 2024-01-01 2
-ecmwf_aifs025_single 6 2024-03-14 6
-ecmwf_ifs025 6 2024-01-01 6
-ecmwf_ifs_hres 6 2024-01-01 6
-dwd_icon_d2 3 2024-01-01 2
-dwd_icon_d2_15min 3 2024-01-01 2
-dwd_icon_eu 6 2024-01-01 4
-dwd_icon_global 6 2024-01-01 4
-dwd_icon_seamless 6 2024-01-01 4
-meteofrance_arome_france0025 3 2024-01-01 2
-meteofrance_arome_france_hd 3 2024-01-01 2
-meteofrance_arome_france_hd_15min 3 2024-01-01 2
-meteofrance_arpege_europe 6 2024-01-01 4
-meteofrance_arpege_world025 6 2024-01-01 6
-meteofrance_seamless 6 2024-01-01 4
-metno_nordic_pp 1 2024-01-01 2
-ukmo_global_deterministic_10km 6 2024-01-01 6
-ukmo_uk_deterministic_2km 3 2024-01-01 2
-cmc_gem_gdps 12 2024-01-01 6
-cmc_gem_hrdps 6 2024-01-01 2
-cmc_gem_rdps 6 2024-01-01 4
-bom_access_global 6 2024-01-01 6
-cma_grapes_global 6 2024-01-01 6
-jma_gsm 6 2018-01-01 6
-jma_msm 3 2018-01-01 2
-jma_seamless 6 2018-01-01 6
-kma_gdps 6 2024-01-01 6
-kma_ldps 3 2024-01-01 2
-kma_seamless 6 2024-01-01 6
-"""
+#: Gridded models: hours between cycles, and the first cycle in the archive (None: live only).
+GRIDDED_MODELS = {
+    "hrrr": (1, "2014-07-30"),
+    "hrrrak": (3, "2018-01-01"),
+    "gfs": (6, "2021-01-01"),
+    "gdas": (6, "2021-01-01"),
+    "gefs": (6, "2017-01-01"),
+    "nbm": (1, "2020-01-01"),
+    "rap": (1, "2020-01-01"),
+    "rrfs": (1, "2024-01-01"),
+    "rtma": (1, "2024-01-01"),
+    "urma": (1, "2024-01-01"),
+    "cfs": (6, "2011-01-01"),
+    "ecmwf_ifs_hres": (6, "2022-01-01"),
+    "ecmwf_ifs_ens": (6, "2022-01-01"),
+    "ecmwf_aifs_single": (6, "2024-02-25T06"),
+    "ecmwf_aifs_ens": (6, "2024-02-25T06"),
+    "nam": (6, "2024-01-01"),
+    "hrdps": (6, None),
+    "rdps": (6, None),
+    "gdps": (12, None),
+    "geps": (12, None),
+    "reps": (6, None),
+    "hafs": (6, None),
+    "href": (6, None),
+    "hiresw": (12, None),
+}
+#: Models of the point-forecast feed: hours between cycles, first day, hours to publication.
+POINT_MODELS = {
+    "gfs_seamless": (6, "2024-01-01", 6),
+    "gfs_global": (6, "2024-01-01", 6),
+    "gfs_graphcast025": (6, "2024-01-01", 6),
+    "aigfs025": (6, "2026-01-07", 6),
+    "hgefs025": (6, "2026-01-07", 6),
+    "ncep_hrrr_conus": (1, "2024-01-01", 2),
+    "ncep_nbm_conus": (1, "2024-10-08", 2),
+    "ncep_nam_conus": (6, "2024-01-01", 2),
+    "ecmwf_aifs025_single": (6, "2024-03-14", 6),
+    "ecmwf_ifs025": (6, "2024-01-01", 6),
+    "ecmwf_ifs_hres": (6, "2024-01-01", 6),
+    "dwd_icon_d2": (3, "2024-01-01", 2),
+    "dwd_icon_d2_15min": (3, "2024-01-01", 2),
+    "dwd_icon_eu": (6, "2024-01-01", 4),
+    "dwd_icon_global": (6, "2024-01-01", 4),
+    "dwd_icon_seamless": (6, "2024-01-01", 4),
+    "meteofrance_arome_france0025": (3, "2024-01-01", 2),
+    "meteofrance_arome_france_hd": (3, "2024-01-01", 2),
+    "meteofrance_arome_france_hd_15min": (3, "2024-01-01", 2),
+    "meteofrance_arpege_europe": (6, "2024-01-01", 4),
+    "meteofrance_arpege_world025": (6, "2024-01-01", 6),
+    "meteofrance_seamless": (6, "2024-01-01", 4),
+    "metno_nordic_pp": (1, "2024-01-01", 2),
+    "ukmo_global_deterministic_10km": (6, "2024-01-01", 6),
+    "ukmo_uk_deterministic_2km": (3, "2024-01-01", 2),
+    "cmc_gem_gdps": (12, "2024-01-01", 6),
+    "cmc_gem_hrdps": (6, "2024-01-01", 2),
+    "cmc_gem_rdps": (6, "2024-01-01", 4),
+    "bom_access_global": (6, "2024-01-01", 6),
+    "cma_grapes_global": (6, "2024-01-01", 6),
+    "jma_gsm": (6, "2018-01-01", 6),
+    "jma_msm": (3, "2018-01-01", 2),
+    "jma_seamless": (6, "2018-01-01", 6),
+    "kma_gdps": (6, "2024-01-01", 6),
+    "kma_ldps": (3, "2024-01-01", 2),
+    "kma_seamless": (6, "2024-01-01", 6),
+}
 LIVE_WINDOW = timedelta(days=7)
 
 
-def _parse(text: str) -> dict[str, Model]:
-    found = {}
-    for line in text.split("\n")[1:-1]:
-        name, step, floor, *lag = line.split()
-        at = None if floor == "-" else datetime.fromisoformat(floor + (":00" if "T" in floor else "")).replace(tzinfo=UTC)
-        found[name] = Model(name, int(step), at, int(lag[0]) if lag else None)
-    return found
+def _model(name: str, step: int, floor: str | None, lag: int | None = None) -> Model:
+    return Model(name, step, None if floor is None else datetime.fromisoformat(floor).replace(tzinfo=UTC), lag)
 
 
-GRIDDED, POINT = _parse(_GRIDDED), _parse(_POINT)
+GRIDDED = {name: _model(name, *given) for name, given in GRIDDED_MODELS.items()}
+POINT = {name: _model(name, *given) for name, given in POINT_MODELS.items()}
 
 
 def gridded(name: str) -> Model:

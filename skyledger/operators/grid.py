@@ -2,7 +2,8 @@
 
 Stations look only into cells around their own: the grid is keyed by cells of ``cell`` degrees, and a station is copied to
 the cells of its neighbourhood, so the join is an equi-join however large the grid. Stations without a grid point in the
-neighbourhood (outside the domain) are matched in a second step against the whole grid, one aggregate per station.
+neighbourhood (outside the domain) are compared with one point of each cell first, of which there are a fixed number at
+most, and then by an equi-join with the cells that could hold a nearer one.
 """
 
 from __future__ import annotations
@@ -45,6 +46,11 @@ def nearest_grid(stations: DataFrame, grid: DataFrame, *, station: str = "statio
     # what is found within a cell's height is nearest for certain: the neighbourhood reaches at least as far
     sure = inside.filter(F.col("_best.grid_dist_km") <= cell * math.pi * EARTH_KM / 180 * 0.99)
     left = s.join(sure, station, "left_anti")
-    outside = F.broadcast(left).crossJoin(g).groupBy(station).agg(best) if not left.isEmpty() else sure.limit(0)  # few stations lie off the grid, and a registry is small
+    # one point stands for its cell: no other one of the cell is nearer by more than the cell's two sides
+    some = cells.groupBy("_y", "_x").agg(F.min(F.struct("grid_lat", "grid_lon")).alias("_p")).select("_y", "_x", "_p.*")
+    reached = left.crossJoin(F.broadcast(some)).withColumn("_km", distance)  # (180 / cell + 1) * 360 / cell rows at most
+    bound = reached.groupBy(F.col(station).alias("_s")).agg((F.min("_km") + 2 * cell * math.pi * EARTH_KM / 180 * 1.01).alias("_most"))
+    could = reached.join(bound, F.col(station) == F.col("_s")).filter("_km <= _most").select(station, "latitude", "longitude", "_y", "_x")
+    outside = could.join(cells, ["_y", "_x"]).groupBy(station).agg(best)
     found = sure.unionByName(outside)
     return stations.join(found, station, "left").select(*stations.columns, *[F.col(f"_best.{p}").alias(p) for p in point], F.col("_best.grid_lat").alias("grid_lat"), F.col("_best.grid_lon").alias("grid_lon"), F.col("_best.grid_dist_km").alias("grid_dist_km"))

@@ -21,14 +21,15 @@ from .plans import discovery
 from .plans import pairs as plan
 from .schemas import ColumnSpec, Schema
 from .sources import readers
-from .stations import REGISTRY, Registry
+from .stations import REGISTRY, Registry, zones
 from .streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 CODES = ("NYC", "MDW", "DEN", "LAX", "PHX")
-FIRST, LAST = date(2024, 1, 2), date(2024, 1, 28)
+#: All settlement days of the tables, and one more on either side.
+FIRST, LAST = date(2023, 12, 30), date(2024, 1, 31)
 AS_OF = T.TimePoint(datetime(2024, 1, 15, 12, tzinfo=UTC))
 
 OFFSETS_SQL = "(VALUES ('NYC', -18000), ('MDW', -21600), ('DEN', -25200), ('LAX', -28800), ('PHX', -25200)) AS dim(station_code, lst)"
@@ -53,7 +54,7 @@ CLI_SQL = """cli AS (
          CASE CAST(o_orderkey % 4 AS INTEGER) WHEN 0 THEN 'final' WHEN 1 THEN 'correction' WHEN 2 THEN 'preliminary' ELSE 'estimated' END AS report_type,
          CASE CAST(o_orderkey % 4 AS INTEGER) WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 2.0 WHEN 2 THEN 1.0 ELSE 0.0 END AS report_type_priority,
          CAST(40 + o_orderkey % 60 AS INTEGER) AS high_temp_f, CAST(o_orderkey % 40 AS INTEGER) AS low_temp_f
-  FROM orders WHERE o_orderkey % 9 <> 4)"""
+  FROM orders)"""
 FCST_SQL = """fcst AS (
   SELECT event_id AS seq, CASE user_id % 5 WHEN 0 THEN 'NYC' WHEN 1 THEN 'MDW' WHEN 2 THEN 'DEN' WHEN 3 THEN 'LAX' ELSE 'PHX' END AS station_code,
          CASE WHEN event_id % 6 = 0 THEN NULL ELSE date_trunc('day', ts) - to_hours(CAST(6 * (event_id % 9) AS BIGINT)) END AS issued_at, ts AS valid_at,
@@ -96,7 +97,7 @@ def _obs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _cli(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = _read(spark, sf_dir, "orders").filter("o_orderkey % 9 <> 4")
+    o = _read(spark, sf_dir, "orders")
     k = F.col("o_orderkey")
     kind = F.when(k % 4 == 0, "final").when(k % 4 == 1, "correction").when(k % 4 == 2, "preliminary").otherwise("estimated")
     return o.select(
@@ -192,7 +193,7 @@ def dedup_first_seen(spark, d):
 _DAYS_SQL = f"""days AS (SELECT m.*, CAST(m.observed_at + to_seconds(lst) AS DATE) AS date FROM merged m JOIN {OFFSETS_SQL} USING (station_code)),
 daily AS (SELECT station_code, date, max(temp_f) AS obs_high_f, min(temp_f) AS obs_low_f, avg(temp_f) AS obs_mean_f, avg(dewpoint_f) AS obs_mean_dewpoint_f,
   CAST(max(wind_speed_kt) AS BIGINT) AS obs_max_wind_kt, CAST(max(wind_gust_kt) AS BIGINT) AS obs_max_gust_kt, sum(precip_1hr_inches) AS obs_total_precip_in, count(*) AS obs_count FROM days GROUP BY ALL),
-spine AS (SELECT station_code, lst, CAST(d AS DATE) AS date FROM {OFFSETS_SQL}, range(DATE '2024-01-02', DATE '2024-01-29', INTERVAL 1 DAY) t(d))"""
+spine AS (SELECT station_code, lst, CAST(d AS DATE) AS date FROM {OFFSETS_SQL}, range(DATE '2023-12-30', DATE '2024-02-01', INTERVAL 1 DAY) t(d))"""
 _OBS_OUT = "round(obs_high_f, 6) + 0.0 AS obs_high_f, round(obs_low_f, 6) + 0.0 AS obs_low_f, round(obs_mean_f, 6) + 0.0 AS obs_mean_f, round(obs_mean_dewpoint_f, 6) + 0.0 AS obs_mean_dewpoint_f, obs_max_wind_kt, obs_max_gust_kt, round(obs_total_precip_in, 6) + 0.0 AS obs_total_precip_in, coalesce(obs_count, 0) AS obs_count"
 _CLOSE = "CAST(date AS TIMESTAMP) - to_seconds(lst) + INTERVAL '16 hours 30 minutes'"
 
@@ -217,7 +218,7 @@ def pairs_flagship(spark, d):
 
 
 _FDAYS = f"""fd AS (SELECT f.*, lst, CAST(valid_at + to_seconds(lst) AS DATE) AS date FROM fcst f JOIN {OFFSETS_SQL} USING (station_code)),
-fw AS (SELECT *, {_CLOSE} AS market_close_utc, CAST(date AS TIMESTAMP) - to_seconds(lst) AS win_start, CAST(date AS TIMESTAMP) - to_seconds(lst) + INTERVAL 24 HOURS AS win_end FROM fd WHERE date BETWEEN DATE '2024-01-02' AND DATE '2024-01-28'),
+fw AS (SELECT *, {_CLOSE} AS market_close_utc, CAST(date AS TIMESTAMP) - to_seconds(lst) AS win_start, CAST(date AS TIMESTAMP) - to_seconds(lst) + INTERVAL 24 HOURS AS win_end FROM fd),
 run AS (SELECT * FROM fw WHERE issued_at <= market_close_utc QUALIFY issued_at = max(issued_at) OVER (PARTITION BY station_code, date)),
 ragg AS (SELECT station_code, date, max(temperature_f) FILTER (valid_at BETWEEN win_start AND win_end) AS run_high_f, min(temperature_f) FILTER (valid_at BETWEEN win_start AND win_end) AS run_low_f,
   max(pop_6hr_pct) AS run_pop, sum(qpf_6hr_in) AS run_qpf, arg_min(model, (valid_at, model)) FILTER (model IS NOT NULL) AS run_model, max(issued_at) AS run_issued_at FROM run GROUP BY ALL),
@@ -233,7 +234,7 @@ def forecast_asof_run(spark, d):
 def _windows(spark, d):
     rows = _fcst(spark, d).join(F.broadcast(_dim(spark).select(F.col("code").alias("station_code"), "lst_offset_seconds")), "station_code")
     lst = F.col("lst_offset_seconds")
-    rows = rows.withColumn("date", T.settlement_date("valid_at", lst)).filter(F.col("date").between(F.lit(FIRST), F.lit(LAST)))
+    rows = rows.withColumn("date", T.settlement_date("valid_at", lst))
     return rows.withColumns({"market_close_utc": T.market_close("date", lst), "win_start": T.settlement_start("date", lst), "win_end": T.settlement_end("date", lst)})
 
 
@@ -534,14 +535,14 @@ def index_records(spark, d):
 
 
 @query("""WITH s AS (SELECT n_nationkey AS k, (n_nationkey * 13 % 120 - 60)::DOUBLE + 0.3 AS lat, (n_nationkey * 37 % 360)::DOUBLE + 0.2 AS lon FROM nation),
-g AS (SELECT p_partkey AS id, (p_partkey * 7 % 130 - 65)::DOUBLE AS lat, (p_partkey * 11 % 360)::DOUBLE AS lon FROM part WHERE p_partkey <= 2000),
-x AS (SELECT k, id, 2 * 6371.0 * asin(sqrt(least(1, pow(sin((radians(g.lat) - radians(s.lat)) / 2), 2) + cos(radians(s.lat)) * cos(radians(g.lat)) * pow(sin((radians(g.lon) - radians(s.lon)) / 2), 2)))) AS km FROM s, g)
-SELECT CAST(k AS BIGINT) AS k, round(min(km), 6) + 0.0 AS grid_dist_km FROM x GROUP BY k""")
+g AS (SELECT p_partkey AS id, (p_partkey * 7 % 130 - 65)::DOUBLE AS lat, (p_partkey * 11 % 360)::DOUBLE AS lon FROM part),
+x AS (SELECT k, id, g.lat, g.lon, 2 * 6371.0 * asin(sqrt(least(1, pow(sin((radians(g.lat) - radians(s.lat)) / 2), 2) + cos(radians(s.lat)) * cos(radians(g.lat)) * pow(sin((radians(g.lon) - radians(s.lon)) / 2), 2)))) AS km FROM s, g)
+SELECT CAST(k AS BIGINT) AS k, id, lat AS grid_lat, CASE WHEN lon >= 180 THEN lon - 360 ELSE lon END AS grid_lon, round(km, 6) + 0.0 AS grid_dist_km FROM x QUALIFY row_number() OVER (PARTITION BY k ORDER BY km, id) = 1""")
 def nearest_grid(spark, d):
     k, p = F.col("n_nationkey"), F.col("p_partkey")
     s = _read(spark, d, "nation").select(k.alias("k"), ((k * 13 % 120 - 60).cast("double") + 0.3).alias("latitude"), ((k * 37 % 360).cast("double") + 0.2).alias("longitude"))
     g = _read(spark, d, "part").select(p.alias("id"), (p * 7 % 130 - 65).cast("double").alias("lat"), (p * 11 % 360).cast("double").alias("lon"))
-    return grid.nearest_grid(s, g, station="k", point=["id"], cell=5.0).select("k", "grid_dist_km")
+    return grid.nearest_grid(s, g, station="k", point=["id"], cell=5.0).select("k", "id", "grid_lat", "grid_lon", "grid_dist_km")
 
 
 _SEEN = Schema("schema.events.check", (ColumnSpec("source", "enum", values=("awc", "iem")), ColumnSpec("temp_f", "float64"), ColumnSpec("observation_type", "enum", values=("METAR", "SPECI"))))
@@ -625,14 +626,14 @@ def _cities(spark):
 
 @query(f"""WITH {_EV_SQL}, {MERGED_SQL}, loc AS (SELECT *, CAST(observed_at + to_seconds(-21600) AS DATE) AS local_date FROM merged WHERE station_code = 'MDW'),
 x AS (SELECT local_date, round(min(temp_c), 1) + 0.0 AS lo, round(max(temp_c), 1) + 0.0 AS hi, count(temp_c) AS n FROM loc GROUP BY ALL),
-s AS (SELECT event_id, {_MEASURE} AS measure, {_ICAO} AS icao, CAST(right(slug, 10) AS DATE) AS day, {_EVENT_STATUS} AS st, CASE WHEN event_id % 5 = 3 THEN 4 WHEN event_id % 5 = 1 THEN 6 ELSE 24 END AS wait FROM ev WHERE event_id % 5 <> 0),
-t AS (SELECT s.*, x.lo, x.hi, x.n, x.local_date, CAST(day AS TIMESTAMP) + INTERVAL '23 hours 59 minutes 59 seconds' + to_hours(CAST(CASE WHEN icao = 'KMDW' THEN 6 ELSE -1 END AS BIGINT)) + to_hours(CAST(wait AS BIGINT)) AS final_at FROM s LEFT JOIN x ON icao = 'KMDW' AND day = local_date)
+s AS (SELECT event_id, {_MEASURE} AS measure, {_ICAO} AS icao, CAST(right(slug, 10) AS DATE) AS day, {_EVENT_STATUS} AS st, CASE WHEN event_id % 5 = 3 THEN 4 WHEN event_id % 5 < 2 THEN 6 ELSE 24 END AS wait FROM ev),
+t AS (SELECT s.*, x.lo, x.hi, x.n, x.local_date, CAST(day AS TIMESTAMP) + INTERVAL '23 hours 59 minutes 59 seconds' + to_hours(CAST(CASE icao WHEN 'KMDW' THEN 6 WHEN 'KLGA' THEN 5 ELSE -1 END AS BIGINT)) + to_hours(CAST(wait AS BIGINT)) AS final_at FROM s LEFT JOIN x ON icao = 'KMDW' AND day = local_date)
 SELECT event_id, CASE WHEN st <> 'ok' THEN st WHEN TIMESTAMP '2024-01-20 12:00:00' < final_at THEN 'too_early' WHEN local_date IS NULL THEN 'no_extremes' WHEN n < 12 THEN 'low_coverage' ELSE 'settled' END AS status,
   CASE WHEN st = 'ok' AND TIMESTAMP '2024-01-20 12:00:00' >= final_at AND n >= 12 THEN CASE WHEN measure = 'high' THEN hi ELSE lo END END AS observed_value_c FROM t""")
 def settle(spark, d):
     days = extremes.daily_extremes(_local(spark, d)).withColumn("station", F.concat(F.lit("K"), "station"))
-    events = markets.resolve_events(_events(spark, d).filter("event_id % 5 <> 0"), _cities(spark))
-    return markets.settle(events, days, REGISTRY.table(spark), datetime(2024, 1, 20, 12, tzinfo=UTC)).select("event_id", "status", "observed_value_c")
+    events = markets.resolve_events(_events(spark, d), _cities(spark))
+    return markets.settle(events, days, zones(spark), datetime(2024, 1, 20, 12, tzinfo=UTC)).select("event_id", "status", "observed_value_c")
 
 
 @query("SELECT event_id AS seq, CASE WHEN event_id % 3 < 2 THEN 'high' END AS measure, CASE event_id % 3 WHEN 0 THEN 'NY' WHEN 1 THEN 'ZZ' END AS city, CASE WHEN event_id % 3 < 2 THEN DATE '2024-01-05' END AS contract_date, CASE event_id % 3 WHEN 0 THEN 'NYC' END AS station, CASE event_id % 3 WHEN 0 THEN 'resolved' WHEN 1 THEN 'unknown_city' ELSE 'malformed' END AS status FROM events")
@@ -653,8 +654,7 @@ def disagreeing_cities(spark, d):
 def derive_city(spark, d):
     i = F.col("event_id")
     e = _read(spark, d, "events").select(i.alias("seq"), F.when(i % 4 == 0, "rain in New-York today").when(i % 4 == 1, "YORK weather").when(i % 4 == 2, "newyorkhigh").otherwise("none").alias("text"))
-    cities = spark.createDataFrame([("York",), ("New York",), ("Rome",)], "city string")
-    return markets.derive_city(e, cities, "text", "seq").select("seq", "city")
+    return markets.derive_city(e, ["York", "New York", "Rome"], "text").select("seq", "city")
 
 
 # -- live
@@ -670,12 +670,12 @@ def live_latest(spark, d):
     return live.latest(_obs(spark, d)).select("station_code", "observed_at", (F.col("observation_type") == "SPECI").alias("speci"))
 
 
-@query()
+@query(f"""WITH {OBS_SQL} SELECT station_code, CAST(observed_at - INTERVAL 5 HOURS AS DATE) AS date, round(max(temp_f), 6) + 0.0 AS high_f, round(min(temp_f), 6) + 0.0 AS low_f, count(*) AS rows FROM obs GROUP BY ALL""")
 def settlement_stream_days(spark, d):
     """The running day of a stream, on a batch: the same plan without a watermark's effect."""
-    return live.settlement_days(_obs(spark, d).filter("station_code = 'NYC'"), -18000)
+    return live.settlement_days(_obs(spark, d), -18000)
 
 
-@query()
+@query("SELECT unnest(['lag', 'diff', 'diff2', 'rolling', 'calendar_features', 'spread', 'wind_chill', 'heat_index', 'clip_outliers', 'clip_sigma']) AS feature")
 def feature_catalog(spark, d):
     return discovery.feature_catalog(spark)
