@@ -88,6 +88,85 @@ POINT_MODELS = {
     "kma_ldps": (3, "2024-01-01", 2),
     "kma_seamless": (6, "2024-01-01", 6),
 }
+#: Public archives that hold a model's files, the preferred one first.
+_NCEP, _ECMWF, _MSC = ("aws_bdp", "nomads"), ("ecmwf_gcp", "ecmwf_aws", "ecmwf_data_portal", "ecmwf_azure"), ("msc",)
+MIRRORS = {
+    "hrrr": _NCEP,
+    "hrrrak": _NCEP,
+    "gfs": _NCEP,
+    "gdas": _NCEP,
+    "gefs": _NCEP,
+    "nbm": _NCEP,
+    "rap": _NCEP,
+    "rrfs": ("aws_bdp",),
+    "rtma": _NCEP,
+    "urma": _NCEP,
+    "cfs": _NCEP,
+    "ecmwf_ifs_hres": _ECMWF,
+    "ecmwf_ifs_ens": _ECMWF,
+    "ecmwf_aifs_single": _ECMWF,
+    "ecmwf_aifs_ens": _ECMWF,
+    "nam": _NCEP,
+    "hrdps": _MSC,
+    "rdps": _MSC,
+    "gdps": _MSC,
+    "geps": _MSC,
+    "reps": _MSC,
+    "hafs": ("nomads",),
+    "href": ("nomads",),
+    "hiresw": ("nomads",),
+}
+#: An index's variable and level for each column, and in which models they are others or missing.
+_GRIB = {
+    "temp_k_2m": ("TMP", "2 m above ground"),
+    "dewpoint_k_2m": ("DPT", "2 m above ground"),
+    "relative_humidity_pct_2m": ("RH", "2 m above ground"),
+    "wind_u_ms_10m": ("UGRD", "10 m above ground"),
+    "wind_v_ms_10m": ("VGRD", "10 m above ground"),
+    "wind_gust_ms": ("GUST", "surface"),
+    "precip_mm_1h": ("APCP", "surface"),
+    "pressure_pa_surface": ("PRES", "surface"),
+    "pressure_pa_mslp": ("MSLMA", "mean sea level"),
+}
+_IFS = {
+    "temp_k_2m": ("2t", "sfc"),
+    "dewpoint_k_2m": ("2d", "sfc"),
+    "wind_u_ms_10m": ("10u", "sfc"),
+    "wind_v_ms_10m": ("10v", "sfc"),
+    "wind_gust_ms": ("10fg", "sfc"),
+    "pressure_pa_surface": ("sp", "sfc"),
+    "pressure_pa_mslp": ("msl", "sfc"),
+}
+_CANADA = {
+    "temp_k_2m": ("TMP", "TGL_2"),
+    "dewpoint_k_2m": ("DPT", "TGL_2"),
+    "relative_humidity_pct_2m": ("RH", "TGL_2"),
+    "wind_u_ms_10m": ("UGRD", "TGL_10"),
+    "wind_v_ms_10m": ("VGRD", "TGL_10"),
+    "wind_gust_ms": ("GUST", "TGL_10"),
+    "precip_mm_1h": ("APCP", "Sfc"),
+    "pressure_pa_surface": ("PRES", "Sfc"),
+    "pressure_pa_mslp": ("PRMSL", "MSL"),
+}
+_SEA_LEVEL = {"pressure_pa_mslp": ("PRMSL", "mean sea level")}
+_OTHER_VARIABLES = {
+    "gfs": _SEA_LEVEL,
+    "gdas": _SEA_LEVEL | {"relative_humidity_pct_2m": None, "wind_gust_ms": None},
+    "gefs": _SEA_LEVEL | {"relative_humidity_pct_2m": None, "wind_gust_ms": None},
+    "cfs": _SEA_LEVEL | {"dewpoint_k_2m": None, "relative_humidity_pct_2m": None, "wind_gust_ms": None, "precip_mm_1h": None, "pressure_pa_surface": None},
+    "nbm": {"wind_gust_ms": ("GUST", "10 m above ground"), "pressure_pa_surface": None},
+    "rtma": {"relative_humidity_pct_2m": None, "precip_mm_1h": None},
+    "urma": {"relative_humidity_pct_2m": None, "precip_mm_1h": None},
+    "hafs": {"relative_humidity_pct_2m": None},
+    "hiresw": {"relative_humidity_pct_2m": None},
+    "href": {"relative_humidity_pct_2m": None, "wind_gust_ms": None, "pressure_pa_surface": None},
+    "rdps": {"relative_humidity_pct_2m": None, "wind_gust_ms": None},
+    "gdps": {"relative_humidity_pct_2m": None, "wind_gust_ms": None},
+    "geps": {"relative_humidity_pct_2m": None, "wind_gust_ms": None},
+    "reps": {"relative_humidity_pct_2m": None, "wind_gust_ms": None},
+    "ecmwf_aifs_single": {"wind_gust_ms": None},
+    "ecmwf_aifs_ens": {"wind_gust_ms": None},
+}
 LIVE_WINDOW = timedelta(days=7)
 
 
@@ -111,6 +190,19 @@ def point(name: str) -> Model:
     return POINT[name.lower()]
 
 
+def mirrors(name: str) -> tuple[str, ...]:
+    """The archives of a gridded model, the preferred one first."""
+    return MIRRORS[gridded(name).name]
+
+
+def variables(name: str) -> dict[str, tuple[str, str]]:
+    """(variable, level) in a gridded model's index, by column; what the model doesn't have is left out."""
+    model = gridded(name).name
+    base = _IFS if model.startswith("ecmwf") else _CANADA if MIRRORS[model] == _MSC else _GRIB
+    found = base | _OTHER_VARIABLES.get(model, {})
+    return {column: place for column, place in found.items() if place is not None}
+
+
 def check_depth(name: str, cycle: datetime, now: datetime) -> None:
     """Raises for a cycle before the model's archive; models without an archive have the last seven days."""
     m = gridded(name)

@@ -20,6 +20,7 @@ BOUNDS = {
 MAX_VISIBILITY, MAX_METAR, MAX_CODES, YEARS = 99.99, 2048, 256, (1940, 2100)
 ACCEPTED_QC = ("0", "1", "4", "5", "")
 COVERS = ("CLR", "SKC", "FEW", "SCT", "BKN", "OVC", "VV")
+ISSUER, TICKER = r"\A[a-z][a-z0-9._-]{0,31}\z", r"\A(?=.*[^.])[A-Za-z0-9._-]{1,128}\z"
 STATION_CODE, FEED_STATION_ID = r"\A[A-Z]{3,4}\z", r"\A[A-Z0-9][A-Z0-9-]{0,31}\z"
 
 
@@ -128,3 +129,13 @@ def valid_station_code(x) -> Column:
 
 def valid_feed_station_id(x) -> Column:
     return col(x).rlike(FEED_STATION_ID)
+
+
+def valid_issuer(x) -> Column:
+    """Whether a text may name an issuer's folder."""
+    return col(x).rlike(ISSUER)
+
+
+def valid_ticker(x) -> Column:
+    """Whether a text may name a ticker's folder; dots alone may not."""
+    return col(x).rlike(TICKER)

@@ -87,6 +87,13 @@ def data_fingerprint(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), F.sum(row.cast("decimal(38,0)")).alias("hash_sum"), F.bit_xor(row).alias("hash_xor"))
 
 
+def content_hash(df: DataFrame, columns: list[str]) -> str:
+    """16 hex digits that depend on the rows alone, not on their order or files: over the count and the sum of 48-bit digests of each row's values as JSON."""
+    row = F.conv(F.substring(F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256), 1, 12), 16, 10).cast("decimal(38,0)")
+    n, total = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(row), F.lit(0))).first()
+    return hashlib.sha256(f"{n}:{int(total)}".encode()).hexdigest()[:16]
+
+
 def version_of(*parts: str) -> str:
     """16 hex digits over parts (release, schemas, sources, code, data) joined by pipes."""
     return hashlib.sha256("|".join(parts).encode()).hexdigest()[:16]

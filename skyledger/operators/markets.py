@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..errors import ContractError, SelectorError
 from ..functions.parsing import col
 from ..functions.temporal import local_end_of_day, slug_date
+from ..functions.units import c_to_f
 from ..stations import EXCHANGE_CITIES
 
 INTERVALS = {"1m": 60, "1h": 3600, "1d": 86400}
@@ -265,6 +266,61 @@ def settle(events: DataFrame, extremes: DataFrame, stations: DataFrame, now: dat
     return out.drop("status", "_icao", "_tz", "_s", "_d", "tmin_c", "tmax_c", "source_tmin", "source_tmax").withColumnRenamed("_status", "status")
 
 
+def with_unit(settled: DataFrame, stations: DataFrame, unit: str | None = None, published: str = "published_value") -> DataFrame:
+    """settle()'s rows with unit, resolved_value and data_quality_alert.
+
+    unit: fahrenheit or celsius, else by the station's country (F in the US, where values are whole; abroad one decimal).
+    The alert is a text where the value that the market published, if df has that column, is off by over 1 F or 0.6 C.
+    stations: icao, country; a station that isn't there counts as abroad.
+    """
+    if unit not in (None, "fahrenheit", "celsius"):
+        raise ValueError(f"no unit {unit!r}")
+    places = F.broadcast(stations.select(F.col("icao").alias("_icao"), (F.col("country") == "US").alias("_us")))  # a registry
+    rows = settled.join(places, F.col("icao") == F.col("_icao"), "left")
+    us = F.coalesce(F.col("_us"), F.lit(False))
+    chosen = F.lit(unit) if unit else F.when(us, "fahrenheit").otherwise("celsius")
+    scale = F.when(us, 1.0).otherwise(10.0)
+    value = F.when(chosen == "celsius", F.col("observed_value_c")).otherwise(F.floor(c_to_f("observed_value_c") * scale + 0.5) / scale)
+    off = F.abs(value - col(published).cast("double")) if published in settled.columns else F.lit(None).cast("double")
+    most, sign = F.when(chosen == "celsius", 0.6).otherwise(1.0), F.when(chosen == "celsius", "°C").otherwise("°F")
+    alert = F.when(off > most, F.format_string("settled at %.1f%s, published %.1f%s: off by %.2f, more than %.1f", value, sign, col(published).cast("double") if published in settled.columns else F.lit(None).cast("double"), sign, off, most))
+    return rows.withColumns({"unit": chosen, "resolved_value": value, "data_quality_alert": alert}).drop("_icao", "_us")
+
+
+def market_join(frame: DataFrame, markets: DataFrame) -> DataFrame:
+    """Observations, reports and markets of a day: each market with its station's report and observations.
+
+    frame: pairs(). markets: ticker, series_ticker, station, date, measure_type (HIGH_TEMP, LOW_TEMP), floor_strike,
+    cap_strike, market_result (yes, no, ''). settlement_consistent says whether the report's value lies in the bracket
+    [floor, cap) just if the result is yes; null while either is missing. cli_metar_delta_f is the report minus the
+    observed extreme. unconfirmed marks reports that aren't final.
+    """
+    days = frame.select(F.col("station").alias("_s"), F.col("date").alias("_d"), "cli_high_f", "cli_low_f", "cli_report_type", "obs_high_f", "obs_low_f", "obs_count")
+    rows = markets.join(days, (F.col("station") == F.col("_s")) & (F.col("date") == F.col("_d")), "left")
+    high = F.col("measure_type") == "HIGH_TEMP"
+    cli, seen = F.when(high, F.col("cli_high_f")).otherwise(F.col("cli_low_f")), F.when(high, F.col("obs_high_f")).otherwise(F.col("obs_low_f"))
+    inside = (F.col("floor_strike").isNull() | (cli >= F.col("floor_strike"))) & (F.col("cap_strike").isNull() | (cli < F.col("cap_strike")))
+    consistent = F.when(cli.isNotNull() & F.col("market_result").isin("yes", "no"), inside == (F.col("market_result") == "yes"))
+    return rows.select(
+        F.col("station").alias("station_code"),
+        F.col("date").alias("observation_date"),
+        F.col("cli_high_f").alias("cli_high_temp_f"),
+        F.col("cli_low_f").alias("cli_low_temp_f"),
+        F.col("obs_high_f").alias("metar_high_temp_f"),
+        F.col("obs_low_f").alias("metar_low_temp_f"),
+        F.coalesce("obs_count", F.lit(0)).alias("metar_count"),
+        F.col("ticker").alias("market_ticker"),
+        "series_ticker",
+        "measure_type",
+        "floor_strike",
+        "cap_strike",
+        "market_result",
+        consistent.alias("settlement_consistent"),
+        (cli - seen).alias("cli_metar_delta_f"),
+        (F.coalesce(F.col("cli_report_type"), F.lit("")) != "final").alias("unconfirmed"),
+    )
+
+
 def disagreeing_cities(cities: DataFrame) -> DataFrame:
     """Cities that two issuers settle by different stations for the same measure: city, measure, icaos."""
     return cities.groupBy("city", "measure").agg(F.sort_array(F.collect_set("icao")).alias("icaos")).filter(F.size("icaos") > 1)

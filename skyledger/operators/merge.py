@@ -1,11 +1,14 @@
 """Deduplication by priority.
 
 The winner of a key is an aggregate, the smallest struct of what orders the rows, so partial aggregation runs before the
-shuffle and no key's rows are sorted or gathered.
+shuffle: at most one row of a key leaves a partition, and no key's rows are gathered. As a struct isn't updated in place,
+the aggregation sorts its partition by key.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +40,11 @@ def priority_dedup(df: DataFrame, keys: list[str], order: list[Column]) -> DataF
     return best.select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in df.columns])
 
 
+def union_sources(*frames: DataFrame) -> DataFrame:
+    """All rows of several sources or cycles, columns by name; what a frame lacks is null there."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
 def merge_observations(df: DataFrame) -> DataFrame:
     """One row per (station_code, observed_at, observation_type): the live feed before the archive before the climatology; unknown sources last; ties by source, then by all columns."""
     return priority_dedup(df, ["station_code", "observed_at", "observation_type"], [-priority("source", SOURCE_PRIORITY, 0.0), *nulls_last("source")])

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.units import KT_TO_MS_QC, finite
+from ..schemas import QC_SIDECAR
 
 
 @dataclass(frozen=True)
@@ -27,11 +28,11 @@ def _outside(name: str, low: float, high: float) -> Callable[[], Column]:
 
 #: The rules and their bounds.
 RULES = (
-    Rule("temp_range", 0, ("temp_c",), _outside("temp_c", -89.0, 57.0), "temperature beyond the records"),
-    Rule("dew_point_above_temp", 1, ("dew_point_c", "temp_c"), lambda: F.col("dew_point_c") > F.col("temp_c"), "dew point above the temperature"),
-    Rule("wind_negative", 2, ("wind_speed_ms",), lambda: F.col("wind_speed_ms") < 0, "negative wind"),
-    Rule("wind_dir_range", 3, ("wind_dir_deg",), _outside("wind_dir_deg", 0, 360), "direction outside 0 to 360"),
-    Rule("slp_range", 4, ("slp_hpa",), _outside("slp_hpa", 870.0, 1085.0), "pressure outside 870 to 1085"),
+    Rule("temp_c.out_of_range", 0, ("temp_c",), _outside("temp_c", -89.0, 57.0), "temperature beyond the records"),
+    Rule("dew_point_c.exceeds_temp", 1, ("dew_point_c", "temp_c"), lambda: F.col("dew_point_c") > F.col("temp_c"), "dew point above the temperature"),
+    Rule("wind_speed_ms.negative", 2, ("wind_speed_ms",), lambda: F.col("wind_speed_ms") < 0, "negative wind"),
+    Rule("wind_dir_deg.out_of_range", 3, ("wind_dir_deg",), _outside("wind_dir_deg", 0, 360), "direction outside 0 to 360"),
+    Rule("slp_hpa.out_of_range", 4, ("slp_hpa",), _outside("slp_hpa", 870.0, 1085.0), "pressure outside 870 to 1085"),
 )
 
 
@@ -44,20 +45,31 @@ def apply_qc(df: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return df.withColumn("obs_qc_status", reduce(lambda a, b: a.bitwiseOR(b), [F.when(_fired(df, r), F.lit(1 << r.bit)).otherwise(F.lit(0)) for r in rules], F.lit(0)))
 
 
-def sidecar(df: DataFrame, rules: tuple[Rule, ...] = RULES, *, keys: tuple[str, ...] = ("station_code", "observed_at", "source")) -> DataFrame:
-    """One row per row and rule that fires: the keys, rule_id, rule_bit, column_name, value, message."""
-    found = [
-        F.when(_fired(df, r), F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.bit).alias("rule_bit"), F.lit(r.columns[0]).alias("column_name"), (F.col(r.columns[0]) if r.columns[0] in df.columns else F.lit(None)).cast("double").alias("value"), F.lit(r.message).alias("message")))
-        for r in rules
-    ]
-    hits = F.filter(F.array(*found), lambda x: x.isNotNull())
-    return df.select(*keys, F.explode(hits).alias("_hit")).select(*keys, "_hit.*")
+QC_SYSTEM, QC_VERSION = "skyledger.qc", "1"
+
+
+def sidecar(df: DataFrame, rules: tuple[Rule, ...] = RULES, *, station: str = "station_code", at: str = "observed_at") -> DataFrame:
+    """One row per row and rule that fires, as QC_SIDECAR has them. Columns of the schema that df lacks are null; detector_metadata holds the value that fired as JSON."""
+    given = lambda name: F.col(name) if name in df.columns else F.lit(None)
+    found = [F.when(_fired(df, r), F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.columns[0]).alias("field"), given(r.columns[0]).cast("double").alias("value"))) for r in rules]
+    kind = "observation_kind" if "observation_kind" in df.columns else "observation_type"
+    rows = df.select(
+        given(station).alias("station_code"),
+        given(at).alias("observed_at"),
+        given(kind).alias("observation_kind"),
+        *[given(c).alias(c) for c in ("source", "parser_name", "as_of_time", "ingestion_id")],
+        F.lit(QC_SYSTEM).alias("qc_system"),
+        F.lit(QC_VERSION).alias("qc_version"),
+        F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("_hit"),
+    )
+    rows = rows.withColumns({"rule_id": F.col("_hit.rule_id"), "field": F.col("_hit.field"), "flag": F.lit("flagged"), "detector_metadata": F.to_json(F.struct("_hit.value"))})
+    return rows.select(*[F.col(f.name).cast(f.dataType) for f in QC_SIDECAR.fields])
 
 
 def qc_summary(df: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """One row: total, flagged and, by rule, the number of rows in which it fired."""
+    """One row: total, flagged and, by rule (its id with _ for the dot), the number of rows in which it fired."""
     status = F.col("obs_qc_status")
-    counts = [F.count_if(status.bitwiseAND(F.lit(1 << r.bit)) != 0).alias(r.rule_id) for r in rules]
+    counts = [F.count_if(status.bitwiseAND(F.lit(1 << r.bit)) != 0).alias(r.rule_id.replace(".", "_")) for r in rules]
     return df.agg(F.count(F.lit(1)).alias("total"), F.count_if(status != 0).alias("flagged"), *counts)
 
 

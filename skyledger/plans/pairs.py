@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import UTC, date, datetime
+from functools import cached_property
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -11,10 +13,12 @@ from pyspark.sql import functions as F
 
 from ..functions.temporal import market_close, settlement_date, settlement_end, settlement_start, spine, utc_envelope
 from ..functions.units import finite
-from ..operators.aggregates import OBS_AGGREGATES, best_run, nwp_aggregates, obs_aggregates, run_aggregates, series_aggregates
+from .. import __version__
+from ..operators.aggregates import OBS_AGGREGATES, best_run, content_hash, nwp_aggregates, obs_aggregates, run_aggregates, series_aggregates, version_of
 from ..operators.asof import pin_source
 from ..operators.merge import merge_climate, merge_observations
-from ..operators.qc import apply_qc, qc_summary, to_qc_columns
+from ..operators.qc import apply_qc, crosscheck_by_source, qc_summary, sidecar, to_qc_columns
+from ..sources.store import Store
 from ..stations import REGISTRY, Registry
 
 #: A request of more days than this reads the merged store; fewer may read what was fetched for them. The plan is the same.
@@ -31,8 +35,14 @@ class Result:
     schema_id: str
     retrieved_at: datetime = field(default_factory=lambda: datetime.now(UTC))
     qc: DataFrame | None = None
-    data_version: str | None = None
+    sidecar: DataFrame | None = None
     notes: dict[str, Any] = field(default_factory=dict)
+    make_version: Callable[[], str] | None = None
+
+    @cached_property
+    def data_version(self) -> str | None:
+        """16 hex digits that stand for release, schemas, sources, request and data; found by one pass over the data when first asked for."""
+        return self.make_version() if self.make_version else None
 
 
 def day_rows(obs: DataFrame, dim: DataFrame, start: date, stop: date) -> DataFrame:
@@ -102,15 +112,59 @@ def pairs(obs: DataFrame, climate: DataFrame | None, stations: DataFrame, start:
     return out.select("date", F.col("station_code").alias("station"), "cli_high_f", "cli_low_f", "cli_report_type", *obs_columns, *_FORECAST, *more, "market_close_utc")
 
 
-def research(station: str | list[str], start: date, stop: date, *, obs: DataFrame, climate: DataFrame | None = None, registry: Registry = REGISTRY, source: str | None = None, qc: bool = False, **options) -> Result:
-    """pairs() for stations by name, wrapped with its provenance. source pins the observations before they are merged; qc adds a summary of the rules over the rows before the merge, which stay as they are."""
+#: What a version of research() stands for besides the request and the data.
+SCHEMAS = ("schema.forecast.iem_mos.v1", "schema.observation.v1", "schema.settlement.cli.v1")
+SOURCES = ("awc.live", "ghcnh", "iem.archive", "iem.live", "nws.cli")
+
+
+def research_version(stations: list[str], start: date, stop: date, obs: DataFrame, climate: DataFrame | None = None) -> str:
+    """The version of a research() request: release, schemas, sources, the request, and the content of the rows that it may read, not the files that hold them."""
+    rows = obs.filter(F.col("station_code").isin(*stations))
+    data = content_hash(rows, [c for c in ("station_code", "observed_at", "observation_type", "source", *dict.fromkeys(x for _, x in OBS_AGGREGATES.values())) if c in rows.columns])
+    if climate is not None:
+        data += content_hash(climate.filter(F.col("station_code").isin(*stations)), ["station_code", "observation_date", "report_type", "high_temp_f", "low_temp_f"])
+    return version_of(__version__, ",".join(SCHEMAS), ",".join(SOURCES), f"research:{','.join(sorted(stations))}:{start.isoformat()}:{stop.isoformat()}", data)
+
+
+def research(station: str | list[str], start: date, stop: date, *, obs: DataFrame, climate: DataFrame | None = None, registry: Registry = REGISTRY, source: str | None = None, qc: bool = False, store: Store | None = None, ordered: bool = False, **options) -> Result:
+    """pairs() for stations by name, wrapped with its provenance. source pins the observations before they are merged.
+
+    qc adds a summary of the rules over the rows before the merge, which stay as they are, the number of disagreements
+    between archive and climatology, and the sidecar's rows; with a store the sidecar is written there, too (months that
+    still run aren't). ordered sorts the result by date and station, which a table that is written doesn't need.
+    """
     spark = obs.sparkSession
     names = [station] if isinstance(station, str) else station
     chosen = Registry({s.code: s for s in map(registry.get, names)})
     rows = pin_source(obs, source) if source else obs
     rows = rows.filter(F.col("station_code").isin(*chosen.stations))
-    summary = qc_summary(apply_qc(to_qc_columns(rows))) if qc else None
-    return Result(pairs(rows, climate, chosen.table(spark), start, stop, **options), source or "merged", "pairs.v1", qc=summary, notes={"nwp_as_of_close": options.get("nwp_as_of_close", False)})
+    summary = hits = None
+    if qc:
+        marked = apply_qc(to_qc_columns(rows))
+        hits = sidecar(marked)
+        disagree = crosscheck_by_source(rows).agg(F.count(F.lit(1)).alias("crosscheck_disagreements"))
+        summary = qc_summary(marked).crossJoin(F.broadcast(disagree))  # one row each
+        if store is not None:
+            store.write("qc", hits)
+    frame = pairs(rows, climate, chosen.table(spark), start, stop, **options)
+    return Result(
+        frame.orderBy("date", "station") if ordered else frame,
+        source or "merged",
+        "pairs.v1",
+        qc=summary,
+        sidecar=hits,
+        notes={"nwp_as_of_close": options.get("nwp_as_of_close", False)},
+        make_version=lambda: research_version(sorted(chosen.stations), start, stop, rows, climate),
+    )
+
+
+def obs_rows(station: str | list[str], start: date, stop: date, *, obs: DataFrame, registry: Registry = REGISTRY, source: str | None = None) -> DataFrame:
+    """The merged observations themselves of the settlement days from start to stop, all columns of obs and their day as ``date``. source pins them before the merge."""
+    names = [station] if isinstance(station, str) else station
+    chosen = Registry({s.code: s for s in map(registry.get, names)})
+    rows = pin_source(obs, source) if source else obs
+    dim = F.broadcast(chosen.table(obs.sparkSession).select(F.col("code").alias("station_code"), "lst_offset_seconds"))  # a registry is small
+    return day_rows(merge_observations(rows.filter(F.col("station_code").isin(*chosen.stations))), dim, start, stop).select(*obs.columns, "date")
 
 
 def obs_daily(station: str | list[str], start: date, stop: date, *, obs: DataFrame, registry: Registry = REGISTRY, source: str | None = None, strategy: str = "auto") -> DataFrame:

@@ -363,7 +363,7 @@ def cycle_range(spark, d):
 # -- quality control
 
 _QC_SQL = OBS_SQL + ", q AS (SELECT *, dewpoint_c AS dew, wind_speed_kt * 0.514444 - 1 AS ms, CASE WHEN seq % 3 = 0 THEN NULL ELSE wind_dir_degrees END AS dir, sea_level_pressure_mb AS slp FROM obs)"
-_FIRED = {"temp_range": "temp_c < -89 OR temp_c > 57", "dew_point_above_temp": "dew > temp_c", "wind_negative": "ms < 0", "wind_dir_range": "dir < 0 OR dir > 360", "slp_range": "slp < 870 OR slp > 1085"}
+_FIRED = {"temp_c.out_of_range": "temp_c < -89 OR temp_c > 57", "dew_point_c.exceeds_temp": "dew > temp_c", "wind_speed_ms.negative": "ms < 0", "wind_dir_deg.out_of_range": "dir < 0 OR dir > 360", "slp_hpa.out_of_range": "slp < 870 OR slp > 1085"}
 _STATUS = " + ".join(f"CASE WHEN {c} THEN {1 << k} ELSE 0 END" for k, c in enumerate(_FIRED.values()))
 
 
@@ -377,12 +377,16 @@ def qc_bitfield(spark, d):
     return _qc(spark, d).select("seq", "obs_qc_status")
 
 
-@query(f"WITH {_QC_SQL} " + " UNION ALL ".join(f"SELECT seq, '{r}' AS rule_id, CAST({k} AS BIGINT) AS rule_bit, round({v}, 6) + 0.0 AS value FROM q WHERE {c}" for k, ((r, c), v) in enumerate(zip(_FIRED.items(), ("temp_c", "dew", "ms", "CAST(dir AS DOUBLE)", "slp"), strict=True))))
+_SIDECAR_SQL = "SELECT station_code, ts AS observed_at, observation_type AS observation_kind, source, CAST(NULL AS VARCHAR) AS parser_name, CAST(NULL AS TIMESTAMP) AS as_of_time, CAST(seq AS VARCHAR) AS ingestion_id, 'skyledger.qc' AS qc_system, '1' AS qc_version, '{0}' AS rule_id, '{1}' AS field, 'flagged' AS flag FROM q WHERE {2}"
+
+
+@query(f"WITH {_QC_SQL} " + " UNION ALL ".join(_SIDECAR_SQL.format(r, r.partition(".")[0], c) for r, c in _FIRED.items()))
 def qc_sidecar(spark, d):
-    return qc.sidecar(_qc(spark, d), keys=("seq",)).select("seq", "rule_id", "rule_bit", "value")
+    rows = _qc(spark, d).withColumns({"observed_at": F.col("ts"), "ingestion_id": F.col("seq").cast("string")})
+    return qc.sidecar(rows).drop("detector_metadata")
 
 
-@query(f"WITH {_QC_SQL} SELECT count(*) AS total, count(*) FILTER (({_STATUS}) <> 0) AS flagged, " + ", ".join(f"count(*) FILTER ({c}) AS {r}" for r, c in _FIRED.items()) + " FROM q")
+@query(f"WITH {_QC_SQL} SELECT count(*) AS total, count(*) FILTER (({_STATUS}) <> 0) AS flagged, " + ", ".join(f"count(*) FILTER ({c}) AS {r.replace('.', '_')}" for r, c in _FIRED.items()) + " FROM q")
 def qc_summary(spark, d):
     return qc.qc_summary(_qc(spark, d))
 

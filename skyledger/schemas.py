@@ -94,7 +94,7 @@ LINEAGE = ("parser_name", "parser_version", "ingestion_id", "as_of_time", "sourc
 LEDGER = T.StructType([*OBSERVATION.fields, *(T.StructField(n, T.StringType()) for n in LINEAGE)])
 CLIMATE = struct("station_code string, observation_date string, high_temp_f int, low_temp_f int, report_type string, report_type_priority double, source string, product_id string, issued_at string")
 QC_SIDECAR = struct(
-    "station_code string, observed_at string, source string, rule_id string, rule_bit int, column_name string, value double, status string, message string, detector string, detector_version string, detector_metadata string, checked_at string"
+    "station_code string, observed_at timestamp, observation_kind string, source string, parser_name string, as_of_time timestamp, ingestion_id string, qc_system string, qc_version string, rule_id string, field string, flag string, detector_metadata string"
 )
 PAIRS = struct(
     "date date, station string, cli_high_f int, cli_low_f int, cli_report_type string, obs_high_f double, obs_low_f double, obs_mean_f double, obs_mean_dewpoint_f double, obs_max_wind_kt int, obs_max_gust_kt int, obs_total_precip_in double, obs_count bigint, "
@@ -199,4 +199,24 @@ NWP_V1 = register(
     )
 )
 LEDGER_V1 = register(Schema("schema.observation_ledger.v1", tuple(_c(n, "string") for n in ("station_code", "observed_at", "source", *LINEAGE)) + (_c("temp_c", "float64", "celsius"), _c("dewpoint_c", "float64", "celsius")), frozenset({"iem.archive"})))
-QC_V1 = register(Schema("schema.observation_qc.v1", tuple(_c(f.name, {"string": "string", "int": "int64", "double": "float64"}[f.dataType.simpleString()]) for f in QC_SIDECAR.fields), frozenset({"iem.archive"})))
+QC_V1 = register(
+    Schema(
+        "schema.observation_qc.v1",
+        (
+            _c("station_code", "string", nullable=False),
+            _c("observed_at", "timestamp_utc", nullable=False),
+            _c("observation_kind", "enum", values=("METAR", "SPECI")),
+            _c("source", "enum", values=("awc", "iem", "ghcnh", "ncei")),
+            _c("parser_name", "string"),
+            _c("as_of_time", "timestamp_utc"),
+            _c("ingestion_id", "string"),
+            _c("qc_system", "string", nullable=False),
+            _c("qc_version", "string", nullable=False),
+            _c("rule_id", "string", nullable=False),
+            _c("field", "string", nullable=False, notes="the observation's column that the rule looked at"),
+            _c("flag", "enum", nullable=False, values=("clean", "flagged", "suspect")),
+            _c("detector_metadata", "string", notes="JSON, by qc_system"),
+        ),
+        frozenset({"iem.archive"}),
+    )
+)

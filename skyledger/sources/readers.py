@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import IndexFormatError
+from ..errors import IndexFormatError, UnknownSourceError
 from ..functions import parsing as P
 from ..functions import units as U
 from ..functions.temporal import local_midnight, seconds
 from ..operators.merge import REPORT_PRIORITY, dedup_climate_reports, priority
-from ..schemas import OBSERVATION
+from ..schemas import CLIMATE, OBSERVATION
 
 #: How long after the event a feed's row is known, in minutes.
 KNOWLEDGE_LAG = {"iem": 15, "awc": 5, "ghcnh": 360}
@@ -348,6 +350,40 @@ def canonical(obs: DataFrame, feed: str, retrieved_at: Column | None = None) ->
     return obs.select(*[c.alias(n) for n, c in base.items()])
 
 
+#: Sources that rows in memory may be tagged with, and the feed whose lag they have.
+ROW_SOURCES = {"iem.archive": "iem", "iem.live": "iem", "awc.live": "awc", "ghcnh.archive": "ghcnh", "ghcnh": "ghcnh"}
+
+
+def _retrieved(at: datetime | None) -> Column:
+    if at is None:
+        return F.current_timestamp()
+    if at.tzinfo is None:
+        raise ValueError(f"{at!r} has no time zone")
+    return F.lit(at).cast("timestamp")
+
+
+def from_rows(spark: SparkSession, rows: list[dict], source: str, retrieved_at: datetime | None = None) -> DataFrame:
+    """Storage rows in memory as canonical ones; no rows give an empty frame of the same schema. Keys that aren't storage columns are left out."""
+    if source not in ROW_SOURCES:
+        raise UnknownSourceError(f"no source {source!r}", known=sorted(ROW_SOURCES))
+    at = _retrieved(retrieved_at)
+    table = spark.createDataFrame([tuple(_typed(r.get(f.name), f) for f in OBSERVATION.fields) for r in rows], OBSERVATION)
+    return canonical(table, ROW_SOURCES[source], at).withColumn("source", F.lit(source))
+
+
+def _typed(x, f):
+    """A value as its column has it: whole numbers for integers, floats for doubles."""
+    kind = f.dataType.simpleString()
+    return None if x is None else {"int": round, "double": float, "string": str}[kind](x)
+
+
+def from_records(spark: SparkSession, records: list[dict], tz: str, retrieved_at: datetime | None = None) -> DataFrame:
+    """Climate records in memory as settlements, with retrieved_at."""
+    at = _retrieved(retrieved_at)
+    table = spark.createDataFrame([tuple(_typed(r.get(f.name), f) for f in CLIMATE.fields) for r in records], CLIMATE)
+    return settlement_rows(table, tz).withColumn("retrieved_at", at)
+
+
 def settlement_rows(climate: DataFrame, tz: str) -> DataFrame:
     """Climate rows as settlements: one per day, event_time at the station's midnight, knowledge_time at the product's release, finality from the report's kind."""
     rows = dedup_climate_reports(climate)
@@ -392,8 +428,6 @@ class Adapters:
             raise ValueError(f"{source_id!r} is registered with another adapter")
 
     def get(self, source_id: str):
-        from ..errors import UnknownSourceError
-
         if source_id not in self._by_id:
             raise UnknownSourceError(f"no source {source_id!r}", known=sorted(self._by_id))
         return self._by_id[source_id]

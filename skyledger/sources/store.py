@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import CacheError
+from ..functions.parsing import ISSUER, STATION_CODE, TICKER
 
 VERSION = "v1"
 LAYOUTS = {
@@ -17,6 +19,7 @@ LAYOUTS = {
     "trades": ["issuer", "ticker", "year", "month"],
     "qc": ["station_code", "year", "month"],
 }
+_NAMES = {"station_code": STATION_CODE, "issuer": ISSUER, "ticker": TICKER}
 _TIME = {"observations": "observed_at", "climate": "observation_date", "forecasts": "valid_at", "trades": "ts", "qc": "observed_at"}
 
 
@@ -30,6 +33,13 @@ def live_overlaps(year: int, month: int, now: datetime) -> bool:
     return first <= now and after > now - timedelta(hours=LIVE_HOURS)
 
 
+def check_name(column: str, value) -> None:
+    """Raises for a value that may not name a folder of a partition."""
+    pattern = _NAMES.get(column)
+    if pattern and not re.match(pattern.replace(r"\z", r"\Z"), str(value)):
+        raise CacheError(f"{value!r} can't be a {column}", column=column)
+
+
 class Store:
     """Tables below root/<kind>/<version>. The version is part of the path, so rows of another layout are never read."""
 
@@ -45,6 +55,8 @@ class Store:
         """Rows by partition columns and a half-open window. The window also bounds year and month, so other partitions aren't listed into the scan."""
         df = self.spark.read.option("recursiveFileLookup", "false").parquet(self.path(kind))
         for k, v in equal.items():
+            for one in v if isinstance(v, (list, tuple, set)) else [v]:
+                check_name(k, one)
             df = df.filter(F.col(k).isin(*v) if isinstance(v, (list, tuple, set)) else F.col(k) == v)
         parts = LAYOUTS[kind]
         at = F.to_timestamp(_TIME[kind])
@@ -74,6 +86,8 @@ class Store:
         parts = LAYOUTS[kind]
         if set(equal) != set(parts):
             raise CacheError("a partition is named by all its columns", columns=parts)
+        for k, v in equal.items():
+            check_name(k, v)
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.path(kind) + "".join(f"/{p}={equal[p]}" for p in parts))
         return bool(path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))

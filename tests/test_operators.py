@@ -91,6 +91,72 @@ def test_pairs_have_every_day(spark):
     assert temporal.spine(spark, date(2024, 1, 2), date(2024, 1, 1)).count() == 0
 
 
+def test_quality_control_is_kept_beside_the_pairs(spark, tmp_path):
+    from skyledger.sources.store import Store
+
+    rows = obs(spark, [row(6, f=70.0), row(9, c=99.0)])
+    store = Store(spark, str(tmp_path))
+    ask = lambda df, **o: pairs.research("KNYC", date(2024, 7, 4), date(2024, 7, 4), obs=df, **o)
+    result = ask(rows, qc=True, store=store, ordered=True)
+    (hit,) = store.read("qc", station_code="NYC").drop("year", "month").collect()
+    assert set(schemas.QC_SIDECAR.names) == set(hit.asDict()) and len(schemas.QC_SIDECAR.names) == 13
+    assert (hit.rule_id, hit.field, hit.flag, hit.detector_metadata) == ("temp_c.out_of_range", "temp_c", "flagged", '{"value":99.0}')
+    assert result.sidecar.columns == schemas.QC_SIDECAR.names and result.qc.first().crosscheck_disagreements == 0
+    assert ask(rows).sidecar is None and ask(rows).qc is None
+    version = result.data_version
+    assert len(version) == 16 and version == ask(rows.repartition(3)).data_version
+    assert version not in {ask(obs(spark, [row(6, f=71.0), row(9, c=99.0)])).data_version, pairs.research("KNYC", date(2024, 7, 4), date(2024, 7, 5), obs=rows).data_version}
+    raw = pairs.obs_rows("NYC", date(2024, 7, 4), date(2024, 7, 4), obs=rows)
+    assert raw.columns == [*rows.columns, "date"] and raw.count() == 2
+    assert pairs.obs_rows("NYC", date(2024, 7, 3), date(2024, 7, 3), obs=rows).count() == 0
+
+
+def test_settlement_pages_name_stations(spark):
+    texts = {
+        "https://www.wunderground.com/history/daily/us/ny/new-york-city/KLGA/date/2024-1-1": "KLGA",
+        "see http://wunderground.com/dashboard/pws/KNYC.": "KNYC",
+        "https://wunderground.com/cat/forecasts/KJFK?x=1 and https://wunderground.com/weather-station/KJFK": "KJFK",
+        "https://wunderground.com/history/daily/KJFKX": None,
+        "https://wunderground.com/history/weekly/KJFK": None,
+        "https://wunderground.com/history/daily/US/KJFK": None,
+        "https://wunderground.com.evil.example/history/daily/KJFK": None,
+        "https://wunderground.com/history/airport/KJFK https://wunderground.com/history/daily/KLGA": None,
+        "": None,
+    }
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert {r.t: r.i for r in df.select("t", markets.url_icao("t").alias("i")).collect()} == texts
+    words = {"The highest": "high", "minimum of": "low", "maximal": "default", "high or low": "default", "HOTTEST": "high"}
+    df = spark.createDataFrame([(t,) for t in words], "t string")
+    assert {r.t: r.m for r in df.select("t", markets.measure("t").alias("m")).collect()} == words
+
+
+def test_registries_are_bounded(spark, monkeypatch):
+    rows = spark.range(4).selectExpr("CAST(id AS STRING) AS code", "'X' AS icao", "'UTC' AS tz", "0.0D AS latitude", "0.0D AS longitude")
+    assert len(Registry.from_table(rows).stations) == 4
+    monkeypatch.setattr(stations, "MOST_STATIONS", 3)
+    with pytest.raises(errors.StationError):
+        Registry.from_table(rows)
+    with pytest.raises(ValueError, match="names"):
+        markets.derive_city(rows, [f"city {k}" for k in range(markets.MOST_CITIES + 1)], "code")
+
+
+def test_points_off_the_grid_have_their_nearest(spark):
+    import math
+
+    points = [(k, -20.0 + k % 7, 100.0 + k // 7) for k in range(70)]
+    where = [("a", 45.0, -100.0), ("b", -17.3, 103.2), ("c", -90.0, 0.0), ("d", 10.0, 300.0)]
+
+    def km(a, b, c, d):
+        a, b, c, d = map(math.radians, (a, b, c, d))
+        return 2 * 6371 * math.asin(math.sqrt(math.sin((c - a) / 2) ** 2 + math.cos(a) * math.cos(c) * math.sin((d - b) / 2) ** 2))
+
+    g = spark.createDataFrame(points, "id int, lat double, lon double")
+    got = {r.k: (r.id, r.grid_dist_km) for r in grid.nearest_grid(spark.createDataFrame(where, "k string, latitude double, longitude double"), g, station="k", point=["id"]).collect()}
+    for k, a, b in where:
+        want = min((km(a, b, c, d), i) for i, c, d in points)
+        assert got[k][1] == pytest.approx(want[0]) and (got[k][0] == want[1] or k == "c")
+
+
 def _forecast(spark, rows):
     return spark.createDataFrame(rows, "station_code string, issued_at timestamp, valid_at timestamp, model string, temperature_f double, pop_6hr_pct double, qpf_6hr_in double, temperature_c double, precipitation_probability_pct double")
 

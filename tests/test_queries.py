@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from skyledger import queries
+from skyledger import feed_queries, queries  # noqa: F401
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")

@@ -140,6 +140,27 @@ def test_tables_as_text(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "parquet")).count() == 2
 
 
+def test_rows_in_memory_are_checked(spark):
+    assert readers.from_rows(spark, [], "awc.live").columns == readers.from_rows(spark, [{"station_code": "NYC", "observed_at": "2024-01-01T00:00:00Z"}], "iem.archive").columns
+    with pytest.raises(errors.UnknownSourceError):
+        readers.from_rows(spark, [], "elsewhere")
+    for make in (lambda at: readers.from_rows(spark, [], "awc.live", at), lambda at: readers.from_records(spark, [], "UTC", at)):
+        with pytest.raises(ValueError, match="time zone"):
+            make(datetime(2024, 1, 1))
+    assert readers.from_records(spark, [], "UTC").count() == 0
+
+
+def test_partitions_have_safe_names(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    spark.createDataFrame([("kalshi", "KXHIGHNY-25MAY26-T79", "2024-01-10T00:00:00Z", 1)], "issuer string, ticker string, ts string, n int").transform(lambda df: store.write("trades", df, now=datetime(2024, 3, 1, tzinfo=UTC)) or df)
+    assert store.read("trades", issuer="kalshi", ticker="KXHIGHNY-25MAY26-T79").count() == 1
+    for bad in ({"issuer": "../x"}, {"issuer": "Kalshi"}, {"ticker": "..."}, {"ticker": "a/b"}, {"issuer": ["kalshi", ""]}):
+        with pytest.raises(errors.CacheError):
+            store.read("trades", **bad)
+    with pytest.raises(errors.CacheError):
+        store.invalidate("trades", issuer="kalshi", ticker="..", year=2024, month=1)
+
+
 def test_live_requests_are_checked_first():
     assert live.check_request("awc", 30, "KNYC") == {"processingTime": "30 seconds"}
     for source, cadence, station, kind in (("x", 30, "NYC", errors.UnknownSourceError), ("iem", 30, "NYC", ValueError), ("awc", "30", "NYC", TypeError), ("awc", 30, "nyc", ValueError)):
