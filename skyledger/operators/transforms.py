@@ -31,20 +31,47 @@ def _over(partition_by: list[str], order_by: list[str]):
     return Window.partitionBy(*partition_by).orderBy(*order_by)
 
 
-def lag(df: DataFrame, column: str, n: int = 1, *, partition_by: list[str], order_by: list[str]) -> DataFrame:
-    """{column}_lag_{n}; a negative n looks ahead."""
-    return df.withColumn(f"{column}_lag_{n}", F.lag(column, n).over(_over(partition_by, order_by)))
-
-
-def diff(df: DataFrame, column: str, n: int = 1, *, partition_by: list[str], order_by: list[str]) -> DataFrame:
-    return df.withColumn(f"{column}_diff_{n}", F.col(column) - F.lag(column, n).over(_over(partition_by, order_by)))
+def _by_chunk(df: DataFrame, reach: int, make: Callable[[DataFrame, list[str]], DataFrame], partition_by: list[str], order_by: list[str], chunk: str | None) -> DataFrame:
+    """make(df, partition_by), whose windows reach ``reach`` rows back (or ahead, if negative).
+
+    With a chunk (month, week, ...; of the first column of order_by) the partitions are cut by time, so that a task gets one
+    chunk of a station and not its whole history: rows that a chunk's windows reach beyond its edge are copied into it and
+    left out of the result. What is ordered by station then are lists of so many rows for each chunk.
+    """
+    if chunk is None or reach == 0:
+        return make(df, partition_by)
+    n, names = abs(reach), df.columns
+    rows = df.withColumn("_chunk", F.date_trunc(chunk, F.col(order_by[0]).cast("timestamp"))).withColumn("_copied", F.lit(False))
+    edge = [F.col(o).desc_nulls_last() if reach > 0 else F.col(o).asc_nulls_first() for o in order_by]
+    ends = rows.withColumn("_place", F.row_number().over(Window.partitionBy(*partition_by, "_chunk").orderBy(*edge))).filter(F.col("_place") <= n)
+    row = F.struct(*[F.col(o).alias(f"o{k}") for k, o in enumerate(order_by)], F.struct(*[F.col(c) for c in names]).alias("row"))
+    lists = ends.groupBy(*partition_by, "_chunk").agg(F.sort_array(F.collect_list(row)).alias("_rows"))
+    # each chunk has a row at least, so the n chunks beside it hold enough
+    beside = Window.partitionBy(*partition_by).orderBy("_chunk").rowsBetween(*((-n, -1) if reach > 0 else (1, n)))
+    near = F.flatten(F.collect_list("_rows").over(beside))
+    near = F.when(F.size(near) <= n, near).otherwise(F.slice(near, -n if reach > 0 else 1, n))
+    copies = lists.withColumn("_near", near).select("_chunk", F.explode("_near").alias("_r")).select("_r.row.*", "_chunk", F.lit(True).alias("_copied"))
+    return make(rows.unionByName(copies), [*partition_by, "_chunk"]).filter("NOT _copied").drop("_chunk", "_copied")
+
+
+def lag(df: DataFrame, column: str, n: int = 1, *, partition_by: list[str], order_by: list[str], chunk: str | None = None) -> DataFrame:
+    """{column}_lag_{n}; a negative n looks ahead. chunk cuts long partitions by time and changes no result."""
+    return _by_chunk(df, n, lambda rows, by: rows.withColumn(f"{column}_lag_{n}", F.lag(column, n).over(_over(by, order_by))), partition_by, order_by, chunk)
+
+
+def diff(df: DataFrame, column: str, n: int = 1, *, partition_by: list[str], order_by: list[str], chunk: str | None = None) -> DataFrame:
+    return _by_chunk(df, n, lambda rows, by: rows.withColumn(f"{column}_diff_{n}", F.col(column) - F.lag(column, n).over(_over(by, order_by))), partition_by, order_by, chunk)
+
+
+def diff2(df: DataFrame, column: str, *, partition_by: list[str], order_by: list[str], chunk: str | None = None) -> DataFrame:
+    """The difference of differences; null in the first two rows."""
 
+    def make(rows: DataFrame, by: list[str]) -> DataFrame:
+        w = _over(by, order_by)
+        one, two = F.lag(column, 1).over(w), F.lag(column, 2).over(w)
+        return rows.withColumn(f"{column}_diff2", (F.col(column) - one) - (one - two))
 
-def diff2(df: DataFrame, column: str, *, partition_by: list[str], order_by: list[str]) -> DataFrame:
-    """The difference of differences; null in the first two rows."""
-    w = _over(partition_by, order_by)
-    one, two = F.lag(column, 1).over(w), F.lag(column, 2).over(w)
-    return df.withColumn(f"{column}_diff2", (F.col(column) - one) - (one - two))
+    return _by_chunk(df, 2, make, partition_by, order_by, chunk)
 
 
 _ROLLING: dict[str, Callable[[Column], Column]] = {
@@ -59,16 +86,20 @@ _ROLLING: dict[str, Callable[[Column], Column]] = {
 }
 
 
-def rolling(df: DataFrame, column: str, window: int, fn: str | Callable[[Column], Column] = "mean", *, partition_by: list[str], order_by: list[str]) -> DataFrame:
-    """{column}_rolling_{window}_{fn} over the row and the window - 1 before it, from the first value on. fn: mean, median, min, max, std, var, sum, count, or a function from the array of the window's values (nulls left out) to a column."""
+def rolling(df: DataFrame, column: str, window: int, fn: str | Callable[[Column], Column] = "mean", *, partition_by: list[str], order_by: list[str], chunk: str | None = None) -> DataFrame:
+    """{column}_rolling_{window}_{fn} over the row and the window - 1 before it, from the first value on. fn: mean, median, min, max, std, var, sum, count, or a function from the array of the window's values (nulls left out) to a column. chunk cuts long partitions by time and changes no result."""
     if window < 1:
         raise ValueError("window must be 1 or more")
     if isinstance(fn, str) and fn not in _ROLLING:
         raise ValueError(f"no rolling function {fn!r}; known: {sorted(_ROLLING)}")
-    over = _over(partition_by, order_by).rowsBetween(1 - window, 0)
-    if isinstance(fn, str):
-        return df.withColumn(f"{column}_rolling_{window}_{fn}", _ROLLING[fn](F.col(column)).over(over))
-    return df.withColumn(f"{column}_rolling_{window}_{getattr(fn, '__name__', 'fn').strip('<>')}", fn(F.collect_list(column).over(over)))
+
+    def make(rows: DataFrame, by: list[str]) -> DataFrame:
+        over = _over(by, order_by).rowsBetween(1 - window, 0)
+        if isinstance(fn, str):
+            return rows.withColumn(f"{column}_rolling_{window}_{fn}", _ROLLING[fn](F.col(column)).over(over))
+        return rows.withColumn(f"{column}_rolling_{window}_{getattr(fn, '__name__', 'fn').strip('<>')}", fn(F.collect_list(column).over(over)))
+
+    return _by_chunk(df, window - 1, make, partition_by, order_by, chunk)
 
 
 def calendar_features(df: DataFrame, column: str, tz: str | None = None) -> DataFrame:

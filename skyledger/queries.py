@@ -426,6 +426,8 @@ _transform("diff", lambda df: transforms.diff(df, "temp_f", 1, **_BY), "temp_f_d
 _transform("diff2", lambda df: transforms.diff2(df, "temp_f", **_BY), "temp_f_diff2", f"round((temp_f - lag(temp_f, 1) OVER {_W}) - (lag(temp_f, 1) OVER {_W} - lag(temp_f, 2) OVER {_W}), 6) + 0.0")
 for _fn, _sql in {"mean": "avg", "median": "median", "min": "min", "max": "max", "std": "stddev_samp", "var": "var_samp", "sum": "sum"}.items():
     _transform(f"rolling_{_fn}", lambda df, fn=_fn: transforms.rolling(df, "temp_f", 3, fn, **_BY), f"temp_f_rolling_3_{_fn}", f"round({_sql}(temp_f) OVER (PARTITION BY station_code ORDER BY ts, seq ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) + 0.0")
+_transform("rolling_by_week", lambda df: transforms.rolling(df, "temp_f", 30, "mean", chunk="week", **_BY), "temp_f_rolling_30_mean", "round(avg(temp_f) OVER (PARTITION BY station_code ORDER BY ts, seq ROWS BETWEEN 29 PRECEDING AND CURRENT ROW), 6) + 0.0")
+_transform("lead_by_day", lambda df: transforms.lag(df.withColumnRenamed("temp_f", "t"), "t", -1, chunk="day", **_BY).withColumnRenamed("t_lag_-1", "t_lead"), "t_lead", f"round(lead(temp_f, 1) OVER {_W}, 6) + 0.0")
 _transform("rolling_count", lambda df: transforms.rolling(df, "temp_f", 3, "count", **_BY), "temp_f_rolling_3_count", "count(temp_f) OVER (PARTITION BY station_code ORDER BY ts, seq ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)")
 _transform("spread", lambda df: transforms.spread(df, "temp_f", "dewpoint_f"), "temp_f_minus_dewpoint_f", "round(temp_f - dewpoint_f, 6) + 0.0")
 _transform("clip_physics", lambda df: transforms.clip_outliers(df, "dewpoint_c"), "dewpoint_c_clipped", "round(CASE WHEN dewpoint_c IS NOT NULL THEN greatest(-89.0::DOUBLE, least(35.0::DOUBLE, dewpoint_c)) END, 6) + 0.0")

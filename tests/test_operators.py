@@ -111,6 +111,24 @@ def test_quality_control_is_kept_beside_the_pairs(spark, tmp_path):
     assert pairs.obs_rows("NYC", date(2024, 7, 3), date(2024, 7, 3), obs=rows).count() == 0
 
 
+def test_windows_cut_by_time_are_the_same(spark):
+    draw = random.Random(2)
+    rows = [(s, None if draw.random() < 0.02 else datetime(2024, 1, 1, tzinfo=UTC) + timedelta(hours=draw.choice((0, 1, 30)) + 9 * k), k, draw.random()) for s in ("a", "b", None) for k in range(draw.choice((1, 40, 90)))]
+    df = spark.createDataFrame(rows, "s string, ts timestamp, seq int, x double").repartition(3)
+    by = {"partition_by": ["s"], "order_by": ["ts", "seq"]}
+    makes = [
+        lambda **o: transforms.lag(df, "x", 3, **by, **o),
+        lambda **o: transforms.lag(df, "x", -5, **by, **o),
+        lambda **o: transforms.diff(df, "x", 2, **by, **o),
+        lambda **o: transforms.diff2(df, "x", **by, **o),
+        lambda **o: transforms.rolling(df, "x", 12, "max", **by, **o),
+        lambda **o: transforms.rolling(df, "x", 1, "sum", **by, **o),
+    ]
+    for make in makes:
+        assert make(chunk="day").columns == make().columns
+        assert sorted(map(repr, make(chunk="day").collect())) == sorted(map(repr, make().collect()))
+
+
 def test_settlement_pages_name_stations(spark):
     texts = {
         "https://www.wunderground.com/history/daily/us/ny/new-york-city/KLGA/date/2024-1-1": "KLGA",
