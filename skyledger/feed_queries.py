@@ -371,7 +371,7 @@ def settlement_units(spark, d):
     return out.select("event_id", "unit", "resolved_value", off.alias("alert"))
 
 
-@query(f"WITH {_EV_SQL} SELECT event_id, {_MEASURE} AS measure, {_ICAO} AS icao, {_EVENT_STATUS} AS status FROM ev WHERE {_EVENT_STATUS} <> 'unknown_city'")
+@query(f"WITH {_EV_SQL} SELECT event_id, CASE WHEN {_EVENT_STATUS} <> 'deferred' THEN {_MEASURE} END AS measure, CASE WHEN {_EVENT_STATUS} <> 'deferred' THEN {_ICAO} END AS icao, {_EVENT_STATUS} AS status FROM ev WHERE {_EVENT_STATUS} <> 'unknown_city'")
 def event_listing(spark, d):
     return markets.discover_events(_events(spark, d), _cities(spark)).select("event_id", "measure", "icao", "status")
 

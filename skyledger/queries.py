@@ -302,15 +302,15 @@ def _local(spark, d):
     return merge.merge_observations(_obs(spark, d)).join(F.broadcast(dim), "station_code")
 
 
-@query(f"""WITH {OBS_SQL}, {CLI_SQL}, seen AS (SELECT station_code, count(*) AS obs_count, max(observed_at) AS latest FROM obs JOIN {OFFSETS_SQL} USING (station_code)
+@query(f"""WITH {OBS_SQL}, {CLI_SQL}, seen AS (SELECT station_code, count(*) AS obs_count, max(observed_at) AS latest, string_agg(CAST(seq AS VARCHAR), ',' ORDER BY observed_at, seq) AS seqs FROM obs JOIN {OFFSETS_SQL} USING (station_code)
   WHERE observed_at >= TIMESTAMP '2024-01-14' - to_seconds(lst) AND observed_at < TIMESTAMP '2024-01-15' - to_seconds(lst) AND observed_at <= TIMESTAMP '2024-01-15 12:00:00' GROUP BY ALL),
 rep AS (SELECT station_code, max(report_type_priority) AS p FROM cli WHERE observation_date = DATE '2024-01-14' GROUP BY ALL)
-SELECT station_code, DATE '2024-01-14' AS settlement_date, coalesce(obs_count, 0) AS obs_count, latest, CASE WHEN TIMESTAMP '2024-01-15 12:00:00' >= TIMESTAMP '2024-01-15' - to_seconds(lst) + INTERVAL 6 HOURS THEN p END AS priority,
+SELECT station_code, DATE '2024-01-14' AS settlement_date, coalesce(obs_count, 0) AS obs_count, latest, seqs, CASE WHEN TIMESTAMP '2024-01-15 12:00:00' >= TIMESTAMP '2024-01-15' - to_seconds(lst) + INTERVAL 6 HOURS THEN p END AS priority,
   CASE WHEN TIMESTAMP '2024-01-15 12:00:00' < TIMESTAMP '2024-01-15' - to_seconds(lst) + INTERVAL 6 HOURS THEN 'not yet published' WHEN p IS NULL THEN 'no record' ELSE 'available' END AS climate_reason
 FROM {OFFSETS_SQL} LEFT JOIN seen USING (station_code) LEFT JOIN rep USING (station_code)""")
 def snapshot_asof(spark, d):
     s = asof.snapshot(_obs(spark, d), _cli(spark, d), _dim(spark), date(2024, 1, 14), AS_OF, cli_hours=6)
-    return s.select("station_code", "settlement_date", "obs_count", "latest", F.col("climate.report_type_priority").alias("priority"), "climate_reason")
+    return s.select("station_code", "settlement_date", "obs_count", "latest", F.array_join(F.transform("obs", lambda o: o["seq"].cast("string")), ",").alias("seqs"), F.col("climate.report_type_priority").alias("priority"), "climate_reason")
 
 
 # -- points in time
@@ -613,12 +613,12 @@ def _events(spark, d):
     e = _read(spark, d, "events")
     title = F.when(i % 4 == 0, "Highest temperature").when(i % 4 == 1, "Coldest day").when(i % 4 == 2, "high and low").otherwise("Weather")
     text = F.when(i % 5 == 0, "see https://www.wunderground.com/history/daily/us/ny/KLGA for it").when(i % 5 == 1, "https://wunderground.com/history/daily/KJFK and https://wunderground.com/history/daily/KLGA").when(i % 5 == 2, "https://evil.example/KLGA").when(i % 5 == 3, "https://www.weather.gov/wrh").otherwise("")
-    return e.select("event_id", i.cast("string").alias("id"), title.alias("title"), F.concat(F.col("event_type"), F.lit("-on-2020-02-30x-"), F.date_format("ts", "yyyy-MM-dd")).alias("slug"), text.alias("description"), F.when(i % 3 == 0, "Chicago").when(i % 3 == 1, "Paris").otherwise("Nowhere").alias("city"))
+    return e.select("event_id", i.cast("string").alias("id"), title.alias("title"), F.concat(F.col("event_type"), F.lit("-on-2020-02-30x-"), F.date_format("ts", "yyyy-MM-dd")).alias("slug"), text.alias("description"), F.when(i % 3 == 0, "Chicago").when(i % 3 == 1, "Paris").when(i % 6 == 5, "Taipei").otherwise("Nowhere").alias("city"))
 
 
 _MEASURE = "CASE event_id % 4 WHEN 0 THEN 'high' WHEN 1 THEN 'low' ELSE 'default' END"
-_ICAO = f"CASE WHEN event_id % 5 = 0 THEN 'KLGA' WHEN event_id % 3 = 0 THEN 'KMDW' WHEN event_id % 3 = 1 THEN CASE WHEN {_MEASURE} = 'low' THEN 'LFPB' ELSE 'LFPG' END END"
-_EVENT_STATUS = f"CASE WHEN event_id % 5 = 2 THEN 'bad_description' WHEN {_ICAO} IS NULL THEN 'unknown_city' WHEN {_MEASURE} = 'default' THEN 'ambiguous_measure' ELSE 'ok' END"
+_ICAO = f"CASE WHEN event_id % 5 = 0 THEN 'KLGA' WHEN event_id % 3 = 0 THEN 'KMDW' WHEN event_id % 3 = 1 THEN CASE WHEN {_MEASURE} = 'low' THEN 'LFPB' ELSE 'LFPG' END WHEN event_id % 6 = 5 THEN 'RCTP' END"
+_EVENT_STATUS = f"CASE WHEN event_id % 5 = 2 THEN 'bad_description' WHEN {_ICAO} IS NULL THEN 'unknown_city' WHEN {_ICAO} = 'RCTP' THEN 'deferred' WHEN {_MEASURE} = 'default' THEN 'ambiguous_measure' ELSE 'ok' END"
 
 
 @query(f"WITH {_EV_SQL} SELECT event_id, {_MEASURE} AS measure, {_ICAO} AS icao, CASE WHEN event_id % 5 IN (0, 1) THEN 'wunderground' WHEN event_id % 5 = 3 THEN 'noaa_wrh' ELSE 'other' END AS source_type, CAST(right(slug, 10) AS DATE) AS settlement_date, {_EVENT_STATUS} AS status FROM ev")
@@ -627,7 +627,7 @@ def resolve_events(spark, d):
 
 
 def _cities(spark):
-    return spark.createDataFrame([("chicago", "default", "KMDW"), ("paris", "high", "LFPG"), ("paris", "low", "LFPB"), ("paris", "default", "LFPG")], "city string, measure string, icao string")
+    return spark.createDataFrame([("chicago", "default", "KMDW"), ("paris", "high", "LFPG"), ("paris", "low", "LFPB"), ("paris", "default", "LFPG"), ("taipei", "default", "RCTP")], "city string, measure string, icao string")
 
 
 @query(f"""WITH {_EV_SQL}, {MERGED_SQL}, loc AS (SELECT *, CAST(observed_at + to_seconds(-21600) AS DATE) AS local_date FROM merged WHERE station_code = 'MDW'),
