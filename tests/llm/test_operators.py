@@ -1,6 +1,7 @@
 """Each operator against brute force or an exact round trip on small tables with nulls, empty and long texts, ties, repeated rows, no rows, and extra columns."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -445,6 +446,19 @@ def test_toxicity(spark, docs, none):
     assert {r.score for r in score(table, nothing).collect()} == {0.0}
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_toxicity_of_documents_that_were_held_out(spark):
+    from skyledger.llm.toxicity import score, train
+
+    documents, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    known = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).dropna()
+    seen = Counter()
+    for r in score(documents, train(documents, labels)).join(known, "doc_id").filter("held_out").collect():
+        seen[r.toxic, r.predicted] += 1
+    # some 70 toxic rows to learn from: clean documents are left alone, and most toxic ones found
+    assert seen[0, 1] == 0 and seen[0, 0] > 50 and seen[1, 1] >= 0.75 * (seen[1, 1] + seen[1, 0]) > 0
+
+
 def test_boosting_learns_and_calibration_rises():
     from skyledger.llm.boosting import Boosted, Isotonic
 
