@@ -302,52 +302,41 @@ def encoder(path: str, end: int = END) -> WordEncoder:
     return kept(("words", path, end), lambda: WordEncoder(path, end))
 
 
-def encode(df: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", end: int = END) -> DataFrame:
-    """One row per input row: doc_id, planes (bits of an id), ids (little-endian, 2 bytes each up to 16 bits, else 4), the end id included."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(tokenizer, end)
-        for part in (p for b in batches for p in slices(b, limit=2 << 20)):
-            ids = [x.tobytes() for x in e.encode(part.column("body").to_pylist())]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([e.planes] * len(ids), pa.int32()), pa.array(ids, pa.binary())], ["doc_id", "planes", "ids"])
-
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("body"))
-    return rows.mapInArrow(run, "doc_id long, planes int, ids binary")
-
-
 def write_shards(df: DataFrame, tokenizer: str, folder: str | None = None, *, id_col: str = "doc_id", text_col: str = "text", shard_ids: int = SHARD_IDS, partitions: int | None = None, end: int = END) -> DataFrame:
     """Writes the ids of all rows in ascending order of doc_id (null first) and returns the manifest, a table in the shared folder: part, seq, path, docs, ids, start.
 
-    Texts are encoded where they are; what is dealt by ranges of the id and sorted is their ids alone. The shards in order of
-    (part, seq) hold the rows in order; start is the number of ids in all shards before. A null text counts as empty and is
-    the end id alone. Repeated doc_ids stand together, in any order, and may go over several tasks. No rows: no shards.
+    Rows are dealt by ranges of the id and sorted there, so the shards in order of (part, seq) hold the rows in order; start
+    is the number of ids in all shards before. A null text counts as empty and is the end id alone. Repeated doc_ids stand
+    together, in any order, and may go over several tasks. No rows: no shards.
     """
     spark = df.sparkSession
     folder = folder or shared_path(spark, "token-shards")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        doc_ids: list[int | None] = []
+        e = encoder(tokenizer, end)
+        ids: list[int | None] = []
         parts: list[np.ndarray] = []
-        held = seq = part_no = planes = 0
+        held = seq = 0
 
         def close() -> pa.RecordBatch:
             path = f"{folder}/{uuid.uuid4().hex}.wm"
-            Shard(doc_ids, np.array([len(p) for p in parts]), WaveletMatrix.build(np.concatenate(parts), planes)).write(path)
-            return pa.RecordBatch.from_arrays([pa.array([part_no], pa.int32()), pa.array([seq], pa.int32()), pa.array([path]), pa.array([len(doc_ids)], pa.int64()), pa.array([held], pa.int64())], ["part", "seq", "path", "docs", "ids"])
-
-        for b in batches:
-            columns = [b.column(c).to_pylist() for c in ("part", "planes", "doc_id")]
-            for part_no, planes, i, x in zip(*columns, b.column("ids"), strict=True):
-                doc_ids.append(i)
-                parts.append(np.frombuffer(x.as_buffer(), np.uint16 if planes <= 16 else np.uint32))
-                held += len(parts[-1])
+            Shard(ids, np.array([len(p) for p in parts]), WaveletMatrix.build(np.concatenate(parts), e.planes)).write(path)
+            return pa.RecordBatch.from_arrays([pa.array([part_no], pa.int32()), pa.array([seq], pa.int32()), pa.array([path]), pa.array([len(ids)], pa.int64()), pa.array([held], pa.int64())], ["part", "seq", "path", "docs", "ids"])
+
+        part_no = 0
+        for part in (p for b in batches for p in slices(b)):
+            part_no = part.column("part")[0].as_py()
+            for i, tokens in zip(part.column("doc_id").to_pylist(), e.encode(part.column("body").to_pylist()), strict=True):
+                ids.append(i)
+                parts.append(tokens)
+                held += len(tokens)
                 if held >= shard_ids:
                     yield close()
-                    doc_ids, parts, held, seq = [], [], 0, seq + 1
-        if doc_ids:
+                    ids, parts, held, seq = [], [], 0, seq + 1
+        if ids:
             yield close()
 
-    rows = written(encode(df, tokenizer, id_col=id_col, text_col=text_col, end=end).withColumn("row", F.monotonically_increasing_id()), "token-ids")
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("body"), F.monotonically_increasing_id().alias("row"))
     order = ["doc_id", "row"]  # row parts the rows of an id that repeats very often
     rows = rows.repartitionByRange(partitions, *order) if partitions else rows.repartitionByRange(*order)
     rows = rows.sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()).drop("row")
