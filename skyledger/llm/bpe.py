@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding by tree concatenation.
 
 A text of over ``leaf`` characters is cut into halves until they are leaves; the leaves of all texts at hand are encoded
-together, by several threads where there are many, and neighbours are joined level by level. Halves are cut before a
+together, by several threads where a text is very long, and neighbours are joined level by level. Halves are cut before a
 space between two words, where the tokenizer's pattern splits whatever stands around; a stretch without such a place is
 cut where the pattern splits it, and what the pattern leaves whole (a pre-token of over ``leaf`` characters) anywhere.
 
@@ -29,7 +29,7 @@ from ._shared import kept, whole_text
 
 LEAF = 4096
 WINDOW = 8
-#: Threads that encode the leaves of long texts, and characters that a thread takes at a time.
+#: Threads that encode the leaves of a text of over TURN characters, and characters that a thread takes at a time.
 THREADS, TURN = 4, 1 << 18
 #: Before the space, the pattern " ?letters| ?digits| ?others|spaces" splits whatever stands around: nothing that it matches goes on over a space.
 _SURE = re.compile(r"\w (?=\w)")
@@ -71,11 +71,12 @@ class TreeCodec:
         # each text is a row of groups that only have to be put end to end; the leaves of a group are joined
         cut = [[[t]] if len(t) <= self.leaf else self._groups(t) for t in texts]
         groups = [g for gs in cut for g in gs]
-        leaves = iter(self._leaves([leaf for g in groups for leaf in g]))
+        # a text that is longer than a turn would hold up its task; others wait for no one, as each core has its own task
+        leaves = iter(self._leaves([leaf for g in groups for leaf in g], wide=max(map(len, texts), default=0) > TURN))
         done = iter(self._joined([[next(leaves) for _ in g] for g in groups]))
         return [np.concatenate([next(done) for _ in gs]) if len(gs) != 1 else next(done) for gs in cut]
 
-    def _leaves(self, texts: list[str]) -> list[np.ndarray]:
+    def _leaves(self, texts: list[str], wide: bool = True) -> list[np.ndarray]:
         turns, size = [[]], 0
         for t in texts:
             if turns[-1] and size + len(t) > TURN:
@@ -83,7 +84,7 @@ class TreeCodec:
                 size = 0
             turns[-1].append(t)
             size += len(t)
-        if len(turns) < 2 or self.threads < 2:
+        if len(turns) < 2 or self.threads < 2 or not wide:
             found = map(self._turn, turns)
         else:
             self.pool = self.pool or ThreadPoolExecutor(self.threads)
