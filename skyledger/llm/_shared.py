@@ -77,6 +77,14 @@ def atomic_file(path: str):
         raise
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, its rows dealt to all cores if it is smaller than the least that Spark would give each (spark.sql.files.openCostInBytes): such a table often lies in one row group, which one task reads. Larger ones stay as they are."""
+    spark = df.sparkSession
+    cores, least = spark.sparkContext.defaultParallelism, spark._jsparkSession.sessionState().conf().filesOpenCostInBytes()
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if 0 < size < cores * least else df
+
+
 def one_task_each(df: DataFrame, together: int = 1) -> DataFrame:
     """The rows of a small table (one for each file, say) dealt by turns to tasks of ``together`` rows, or of fewer where cores would be idle; small as they are, adaptive execution would put them into one."""
     n = df.count()

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import kept, whole_text
+from ._shared import kept, spread, whole_text
 
 LEAF = 4096
 WINDOW = 8
@@ -213,7 +213,7 @@ def encode(df: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: s
             ids = c.arrays(part.column("body").to_pylist())
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    rows = df.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("body"))
+    rows = spread(df.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("body")))
     return rows.mapInArrow(run, rows.select("doc_id", F.array(F.lit(0)).alias("ids")).schema)
 
 
@@ -245,6 +245,6 @@ def round_trip_digests(df: DataFrame, tokenizer: str, *, id_col: str = "doc_id",
                 texts.append(hashlib.sha256(c.decode(ids.tolist()).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(hashes, pa.string()), pa.array(texts, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    rows = df.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("body"))
+    rows = spread(df.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("body")))
     out = rows.select("doc_id", F.lit(0).cast("long").alias("n_tokens"), F.lit("").alias("ids_sha256"), F.lit("").alias("decoded_sha256"))
     return rows.mapInArrow(run, out.schema)

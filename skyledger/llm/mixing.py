@@ -17,7 +17,7 @@ from decimal import Decimal, getcontext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import WORD, packed, unpacked, whole_text, written
+from ._shared import WORD, packed, spread, unpacked, whole_text, written
 
 #: A fixed value: sources in order of their names weigh these, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -40,7 +40,7 @@ def _golden() -> tuple[float, float]:
 def sizes(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """doc_id, source and size (words) of every row."""
     words = F.regexp_count(whole_text(text_col), F.lit(WORD)).cast("long")
-    return df.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), words.alias("size"))
+    return spread(df).select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), words.alias("size"))
 
 
 def _before(rows: DataFrame, order: list[Column], sums: dict[str, str], label: str) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import kept, packed, unpacked, whole_text, written
+from ._shared import kept, packed, spread, unpacked, whole_text, written
 from .bpe import slices
 from .components import components
 
@@ -96,7 +96,7 @@ def fingerprints(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
             fp = fingerprint(part.column("body").to_pylist(), words).view(np.int64)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
 
-    rows = df.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("body"))
+    rows = spread(df.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("body")))
     return rows.mapInArrow(run, rows.select("doc_id", F.lit(0).cast("long").alias("fp")).schema)
 
 

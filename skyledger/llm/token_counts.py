@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import kept, whole_text
+from ._shared import kept, spread, whole_text
 from .bpe import slices
 
 SPACE = "▁"
@@ -247,6 +247,6 @@ def token_counts(df: DataFrame, model: str, *, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("n_bytes"), pa.array(n, pa.int64()), pa.array([k > limit for k in n], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     body = whole_text(text_col)
-    rows = df.select(F.col(id_col).alias("doc_id"), body.alias("body"), F.octet_length(body).cast("long").alias("n_bytes"))
+    rows = spread(df).select(F.col(id_col).alias("doc_id"), body.alias("body"), F.octet_length(body).cast("long").alias("n_bytes"))
     out = rows.select("doc_id", "n_bytes", F.lit(0).cast("long").alias("n_tokens"), F.lit(False).alias("over_limit"))
     return rows.mapInArrow(run, out.schema)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import kept, whole_text, written
+from ._shared import kept, spread, whole_text, written
 from .boosting import Boosted, Isotonic
 from .bpe import slices
 
@@ -266,7 +266,7 @@ def score(df: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str
             s = model.scores(features(part.column("body").to_pylist()))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    rows = df.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("body"), held_out(id_col).alias("held_out"))
+    rows = spread(df).select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("body"), held_out(id_col).alias("held_out"))
     return rows.mapInArrow(run, rows.select("doc_id", "held_out", F.lit(0.0).alias("score"), F.lit(0).alias("predicted")).schema)
 
 
@@ -280,4 +280,4 @@ def clean_rows(df: DataFrame, model: Model, *, text_col: str = "text", threshold
             s = model.scores(features([t or "" for t in part.column(text_col).to_pylist()]))
             yield part.filter(pa.array(s < threshold)).select(names)
 
-    return df.mapInArrow(run, df.schema)
+    return spread(df).mapInArrow(run, df.schema)

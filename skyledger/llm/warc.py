@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import atomic_file, file_system, one_task_each, shared_path, whole_text, written
+from ._shared import atomic_file, file_system, one_task_each, shared_path, spread, whole_text, written
 from .bpe import slices
 
 #: Fixed values of the formats.
@@ -183,7 +183,7 @@ def write_archives(df: DataFrame, folder: str | None = None, *, id_col: str = "p
         if records:
             yield close()
 
-    rows = plan_records(df, id_col=id_col, url_col=url_col, text_col=text_col, least=least)
+    rows = plan_records(spread(df), id_col=id_col, url_col=url_col, text_col=text_col, least=least)
     rows = rows.withColumn("page_id", F.col("page_id").cast("long")).withColumn("first", F.col("first").cast("long"))
     return written(rows.mapInArrow(run, "page_id long, path string, offset long, length long"), "warc-index")
 
