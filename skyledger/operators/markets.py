@@ -125,21 +125,21 @@ def measure(text) -> Column:
     return F.when(low & ~high, "low").when(high & ~low, "high").otherwise("default")
 
 
-def _page_station(url: Column) -> Column:
-    """The station of a settlement page's URL: behind the kind of page and places in lower case, the path names it in capitals. Else null."""
-    parts = F.split(F.regexp_replace(url, r"^https?://", ""), "/")
-    path = F.slice(parts, 2, F.size(parts))
-    path = F.when(F.try_element_at(path, F.lit(1)) == "dashboard", F.slice(path, 2, F.size(path))).otherwise(path)
-    rest = reduce(lambda out, kind: F.when(F.slice(path, 1, len(kind)) == F.array(*map(F.lit, kind)), F.slice(path, len(kind) + 1, F.size(path))).otherwise(out), PAGES, F.lit(None).cast("array<string>"))
-    named = F.try_element_at(F.filter(rest, lambda x: ~x.rlike("^[a-z0-9-]+$")), F.lit(1))
-    code = F.regexp_extract(named, r"^(K[A-Z]{3})(?![A-Za-z0-9_-])", 1)
-    return F.when(parts[0].isin(*[h for h, kind in HOSTS.items() if kind == "wunderground"]) & (code != ""), code)
-
-
 def url_icao(text) -> Column:
-    """The station that the text's settlement pages agree on; null if there is none or they disagree."""
-    found = F.array_distinct(F.filter(F.transform(urls(text), _page_station), lambda x: x.isNotNull()))
-    return F.when(F.size(found) == 1, F.try_element_at(found, F.lit(1)))
+    """The station that the text's settlement pages agree on; null if there is none or they disagree.
+
+    A page's path names its kind, then places in lower case, then the station in capitals. Step by step over the list of
+    URLs, so that each step finds what the one before made of a URL and doesn't make it again.
+    """
+    hosts = [h for h, kind in HOSTS.items() if kind == "wunderground"]
+    none = F.lit(None).cast("array<string>")
+    parts = F.filter(F.transform(urls(text), lambda u: F.split(F.regexp_replace(u, r"^https?://", ""), "/")), lambda p: p[0].isin(*hosts))
+    paths = F.transform(parts, lambda p: F.slice(p, F.when(F.try_element_at(p, F.lit(2)) == "dashboard", 3).otherwise(2), F.size(p)))
+    rests = F.transform(paths, lambda p: reduce(lambda out, kind: F.when(F.slice(p, 1, len(kind)) == F.array(*map(F.lit, kind)), F.slice(p, len(kind) + 1, F.size(p))).otherwise(out), PAGES, none))
+    names = F.transform(rests, lambda r: F.try_element_at(F.filter(r, lambda x: ~x.rlike("^[a-z0-9-]+$")), F.lit(1)))
+    codes = F.transform(names, lambda x: F.regexp_extract(x, r"^(K[A-Z]{3})(?![A-Za-z0-9_-])", 1))
+    found = F.array(F.array_distinct(F.filter(codes, lambda c: c != "")))
+    return F.try_element_at(F.try_element_at(F.filter(found, lambda f: F.size(f) == 1), F.lit(1)), F.lit(1))
 
 
 def urls(text) -> Column:

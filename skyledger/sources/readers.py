@@ -29,6 +29,11 @@ def _storage(df: DataFrame, columns: dict[str, Column], extra: tuple[str, ...] =
     return df.select(*[c.alias(n) for n, c in have.items()], *extra)
 
 
+def _staged(df: DataFrame, columns: dict[str, Column]) -> tuple[DataFrame, dict[str, Column]]:
+    """df with parsed values as columns of their own, and these by name: what is used several times is then parsed once."""
+    return df.withColumns({f"_n_{k}": c for k, c in columns.items()}), {k: F.col(f"_n_{k}") for k in columns}
+
+
 def _integer(x: Column) -> Column:
     return F.rint(x).cast("int")
 
@@ -41,12 +46,12 @@ def read_iem_csv(spark: SparkSession, path: str, observation_type: str | None =
 
 def iem_to_observation(df: DataFrame, observation_type: str | None = None) -> DataFrame:
     """Archive rows as storage rows: M and empty are null; a T-group replaces a temperature that was in range; F is null where C is out of range. Rows without station, time, or any of temperature, dew point, wind and pressure go."""
-    n = {c: P.number(c) for c in ("tmpf", "dwpf", "drct", "sknt", "alti", "mslp", "vsby", "gust", "peak_wind_gust", "peak_wind_drct", "snowdepth")}
-    at = P.observed_at("valid")
-    raw = F.when(F.col("metar") != "M", F.substring("metar", 1, P.MAX_METAR))
+    numbers = ("tmpf", "dwpf", "drct", "sknt", "alti", "mslp", "vsby", "gust", "peak_wind_gust", "peak_wind_drct", "snowdepth", *(f"skyl{k}" for k in range(1, 5)))
+    df, n = _staged(df, {c: P.number(c) for c in numbers} | {"at": P.observed_at("valid"), "raw": F.when(F.col("metar") != "M", F.substring("metar", 1, P.MAX_METAR))})
+    at, raw = n["at"], n["raw"]
     t_group, d_group = P.tenths_group(raw)
-    in_t, in_d = P.within(U.f_to_c(n["tmpf"]), "temp_c"), P.within(U.f_to_c(n["dwpf"]), "dewpoint_c")
-    temp, dew = F.when(in_t.isNotNull(), F.coalesce(t_group, in_t)), F.when(in_d.isNotNull(), F.coalesce(d_group, in_d))
+    df, g = _staged(df, {"t_group": t_group, "d_group": d_group, "in_t": P.within(U.f_to_c(n["tmpf"]), "temp_c"), "in_d": P.within(U.f_to_c(n["dwpf"]), "dewpoint_c")})
+    temp, dew = F.when(g["in_t"].isNotNull(), F.coalesce(g["t_group"], g["in_t"])), F.when(g["in_d"].isNotNull(), F.coalesce(g["d_group"], g["in_d"]))
     kind = F.lit(observation_type) if observation_type else F.when(F.startswith(F.coalesce(raw, F.lit("")), F.lit("SPECI")), "SPECI").otherwise("METAR")
     kept = df.filter(F.col("station").rlike(r"^[A-Z0-9]{3,4}$") & at.isNotNull() & F.coalesce(n["tmpf"], n["dwpf"], n["sknt"], n["mslp"]).isNotNull())
     columns = {
@@ -74,7 +79,7 @@ def iem_to_observation(df: DataFrame, observation_type: str | None = None) -> Da
     }
     for k in range(1, 5):
         columns[f"sky_cover_{k}"] = P.cloud_cover(f"skyc{k}")
-        columns[f"sky_base_{k}_ft"] = P.within(_integer(P.number(f"skyl{k}")), "sky_base_ft")
+        columns[f"sky_base_{k}_ft"] = P.within(_integer(n[f"skyl{k}"]), "sky_base_ft")
     return _storage(kept, columns)
 
 
@@ -130,12 +135,12 @@ def ghcnh_to_observation(df: DataFrame, code: str | None = None) -> DataFrame:
     def raw(v: str) -> Column:
         return F.col(f"`{names[v]}`") if v in names else F.lit(None).cast("string")
 
-    def value(v: str) -> Column:
-        return P.number(P.accepted(raw(v), raw(f"{v}_quality_code")))
-
-    at = P.observed_at(F.substring(F.replace(raw("date"), F.lit("T"), F.lit(" ")), 1, 16))
-    temp, dew = P.within(value("temperature"), "temp_c"), P.within(value("dew_point_temperature"), "dewpoint_c")
-    wind, slp = U.ms_to_kt(value("wind_speed")), P.within(value("sea_level_pressure"), "sea_level_pressure_mb")
+    measured = ("temperature", "dew_point_temperature", "wind_speed", "sea_level_pressure", "wind_direction", "wind_gust", "altimeter", "visibility", "precipitation", "snow_depth", *(f"sky_cover_baseht_{k}" for k in range(1, 4)))
+    parsed = {v: P.number(P.accepted(raw(v), raw(f"{v}_quality_code"))) for v in measured}
+    df, n = _staged(df, parsed | {"at": P.observed_at(F.substring(F.replace(raw("date"), F.lit("T"), F.lit(" ")), 1, 16))})
+    value, at = n.__getitem__, n["at"]
+    df, g = _staged(df, {"temp": P.within(value("temperature"), "temp_c"), "dew": P.within(value("dew_point_temperature"), "dewpoint_c"), "wind": U.ms_to_kt(value("wind_speed")), "slp": P.within(value("sea_level_pressure"), "sea_level_pressure_mb")})
+    temp, dew, wind, slp = g.values()
     remark = F.coalesce(raw("rem"), F.lit(""))
     metar = F.regexp_extract(remark, r"((?:METAR|SPECI).*)$", 1)
     codes = [k for k in (f"pres_wx_mw{j}" for j in range(1, 4)) if k in names]
@@ -174,9 +179,10 @@ def read_cli_json(spark: SparkSession, path: str, code: str) -> DataFrame:
 
 def cli_to_climate(df: DataFrame, code: str) -> DataFrame:
     """Daily reports as climate rows: the date must be real, M is null, values are rounded and out of range null; rows without both go. The report's kind follows from when its product was issued."""
-    day = F.try_to_date("valid", "yyyy-MM-dd")
-    high, low = P.within(_integer(P.number("high")), "high_temp_f"), P.within(_integer(P.number("low")), "low_temp_f")
-    kind = P.report_type("product", day)
+    df, n = _staged(df, {"day": F.try_to_date("valid", "yyyy-MM-dd"), "high": _integer(P.number("high")), "low": _integer(P.number("low"))})
+    df, g = _staged(df, {"kind": P.report_type("product", n["day"])})
+    day, kind = n["day"], g["kind"]
+    high, low = P.within(n["high"], "high_temp_f"), P.within(n["low"], "low_temp_f")
     rows = df.filter(day.isNotNull() & F.coalesce(high, low).isNotNull())
     return rows.select(
         F.lit(code).alias("station_code"),
